@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compactcodec.llm import chat_format, line_dedup, packing, pii, quality_rules, token_file
+from compactcodec.llm import chat_format, line_dedup, near_dup, packing, pii, quality_rules, token_file
 from compactcodec.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 2048, 0).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = "\\### Assistant: </turn> ok"
@@ -54,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_text(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_chat_formatting, op7_quality_rules, op9_token_file, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_near_dup, op4_chat_formatting, op7_quality_rules, op9_token_file, op10_pii)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
