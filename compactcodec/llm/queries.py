@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compactcodec.llm import chat_format, line_dedup, near_dup, packing, pii, quality_rules, token_file
+from compactcodec.llm import chat_format, decontaminate, line_dedup, near_dup, packing, pii, quality_rules, token_file
 from compactcodec.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_file.token_files(spark, docs, tokenizer_path("word_bpe_49k.json"), 2)
@@ -58,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_text(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_near_dup, op4_chat_formatting, op7_quality_rules, op9_token_file, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_near_dup, op4_chat_formatting, op7_quality_rules, op8_decontaminate, op9_token_file, op10_pii)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
