@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compactcodec.llm import chat_format, decontaminate, line_dedup, near_dup, packing, pii, quality_rules, token_file
+from compactcodec.llm import chat_format, decontaminate, html_extract, line_dedup, near_dup, packing, pii, quality_rules, token_file, warc
 from compactcodec.llm.common import table
 
 
@@ -41,6 +41,29 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loss.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a full response, followed by a revisit with its entity tag and one with another; a third revisit is no later than the response."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    tag, at = F.md5("html"), F.col("page_id") * 10
+    text = lambda c: c.cast("string")
+
+    def capture(number: int, kind: str, late: int, etag, server: str):
+        time = at + late
+        headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), text(time), F.lit("ETag"), etag, F.lit("Server"), F.lit(server))
+        body = F.col("html") if kind == "response" else F.lit(None).cast("string")
+        return F.struct((F.col("page_id") * 4 + number).alias("record_id"), "url", time.alias("at"), F.lit(kind).alias("kind"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), headers.alias("headers"), body.alias("body"))
+
+    log = F.array(capture(0, "response", 5, tag, "a"), capture(1, "revisit", 6, F.concat(F.lit("W/"), tag), "b"), capture(2, "revisit", 7, F.md5("url"), "b"), capture(3, "revisit", 5, tag, "b"))
+    made = warc.resolve_revisits(pages.select(F.explode(log).alias("c")).select("c.*"), span=10_000)
+    lines = F.array_join(F.transform(F.map_entries("headers"), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")
+    return made.select("record_id", "status", "resolved_id", lines.alias("headers"), F.char_length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,7 +85,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_text(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_near_dup, op4_chat_formatting, op7_quality_rules, op8_decontaminate, op9_token_file, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_near_dup, op4_chat_formatting, op5_warc, op6_html_extraction, op7_quality_rules, op8_decontaminate, op9_token_file, op10_pii)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,4 +113,22 @@ select conv_id, cast(count(*) as bigint) as n_turns,
          + 2 * (length(text) + length(role)) - length(replace(text, '\', '')) - length(replace(role, '\', ''))
          - length(replace(replace(text, '<', ''), '#', '')) - length(replace(replace(replace(role, '<', ''), '#', ''), chr(10), ''))) as bigint) as formatted_chars
 from rows_ group by conv_id""",
+    "op5_warc": r"""
+with parts as (select page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') as rest from pages),
+split_ as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':[0-9]*$', ''), '^(www|m)\.', '') as host,
+    regexp_extract(rest, '^[^/?]*([^?]*)', 1) as path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))), '&') as fields
+  from parts),
+keyed as (select page_id, url, html, host || case when path = '' then '/' else path end || case when fields = '' then '' else '?' || fields end as k, md5(html) as tag from split_),
+revisits as (
+  select page_id * 4 + n as record_id, k, page_id * 10 + late as "at", case n when 2 then md5(url) else tag end as etag, case n when 1 then 'W/' || tag when 2 then md5(url) else tag end as raw_tag
+  from keyed, (values (1, 6), (2, 7), (3, 5)) as v(n, late)),
+found as (
+  select r.*, (select max(struct_pack("at" := s.page_id * 10 + 5, id := s.page_id * 4)) from keyed s where s.k = r.k and s.page_id * 10 + 5 < r."at") as hit from revisits r),
+joined as (select f.*, s.html, s.tag, f.hit.id as resolved_id, f.etag = s.tag as same from found f left join keyed s on s.page_id * 4 = f.hit.id)
+select record_id, case when resolved_id is null then 'no earlier response' when coalesce(same, false) then 'resolved' else 'validator mismatch' end as status, resolved_id,
+  'content-type: text/html' || chr(10) || 'date: ' || cast("at" as varchar) || chr(10) || 'etag: ' || raw_tag || chr(10) || 'server: ' || case when coalesce(same, false) then 'a' else 'b' end as headers,
+  case when coalesce(same, false) then cast(length(html) as bigint) end as n_chars, case when coalesce(same, false) then sha256(html) end as body_sha256
+from joined""".replace("\\\\", "\\"),
 }
