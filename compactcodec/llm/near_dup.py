@@ -37,6 +37,8 @@ BRANCHES = 2
 DEPTH = 10
 NODE = 1024
 LEADERS = 16
+#: rows of three numbers that may be broadcast, about 10 MB
+BROADCAST_ROWS = 300_000
 #: of 64 sketch digits, two sets of similarity 0.75 agree in 49 on average, with a deviation of 3.4
 LEAST_EQUAL = 32
 
@@ -200,9 +202,14 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
 
 
 def _compare(close: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Links (a, b) between components, found on the full sets of whole texts within each block."""
+    """Links (a, b) between components, found on the full sets of whole texts within each block.
+
+    Few enough members are sent to where the texts are; more of them meet the texts in a shuffle.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = close.join(texts, "id").select("block", "id", "comp", "text").repartition("block").sortWithinPartitions("block", "id")
+    close = materialise(close, "close")
+    few = close.count() <= BROADCAST_ROWS
+    dealt = texts.join(F.broadcast(close) if few else close, "id").select("block", "id", "comp", "text").repartition("block").sortWithinPartitions("block", "id")
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
@@ -217,9 +224,9 @@ def _compare(close: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
                 if b != block:
                     out += links(rows)
                     block, rows = b, []
-                if rows and rows[-1][0] == i:  # a repeated row
-                    continue
-                rows.append((i, c, shingles(t.as_py())))
+                found = shingles(t.as_py())
+                if not (rows and rows[-1][0] == i and np.array_equal(rows[-1][2], found)):  # not a repeated row
+                    rows.append((i, c, found))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
                 out = []
@@ -229,14 +236,13 @@ def _compare(close: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _roots(sets: DataFrame, trees: range) -> DataFrame:
-    """Every set at its root node of each tree."""
-    root = F.explode(F.array(*[F.xxhash64(F.lit(t), _token(F.lit(t))) for t in trees]))
-    return sets.select("*", root.alias("node"))
+def _root(tree: int) -> F.Column:
+    """The root node of a set in a tree."""
+    return F.xxhash64(F.lit(tree), _token(F.lit(tree)))
 
 
-def _first_blocks(sets: DataFrame, trees: range, node: int) -> DataFrame:
-    at = _roots(sets.drop("tokens"), trees) if "tokens" not in sets.columns else _roots(sets, trees).drop("tokens")
+def _first_blocks(at: DataFrame, node: int) -> DataFrame:
+    """Blocks of the nodes of ``at`` (node, id, ...): a large node is cut by a hash, and some random members are in each part."""
     many = at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     k = F.ceil(F.col("n") / node).cast("int")
     mine = F.pmod(F.xxhash64("id"), k).cast("int")
@@ -245,12 +251,18 @@ def _first_blocks(sets: DataFrame, trees: range, node: int) -> DataFrame:
     return at.join(many, "node").withColumn("part", F.explode(part)).withColumn("block", F.xxhash64("node", "part"))
 
 
-def _later_blocks(sets: DataFrame, trees: range, node: int, branches: int, depth: int) -> Iterator[DataFrame]:
-    """Blocks of mixed nodes, level by level."""
-    at = _roots(sets, trees)
+def _mixed(at: DataFrame) -> DataFrame:
+    """The rows of nodes with more than one component, with the node's size, largest component and its size."""
+    by = at.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("n"), F.max_by("comp", "m").alias("most"), F.max("m").alias("top")).where("n > top")
+    return at.join(by, "node")
+
+
+def _later_blocks(known: DataFrame, trees: range, node: int, branches: int, depth: int) -> Iterator[DataFrame]:
+    """Blocks of mixed nodes, level by level.  Tokens and sketches join only the rows of mixed nodes."""
+    roots = known.select("id", "comp", F.explode(F.array(*[_root(t) for t in trees])).alias("node"))
+    slim = materialise(_mixed(roots), "mixed")
+    mixed = materialise(slim.join(known.select("id", "tokens", "s0", "s1", "s2", "s3"), "id"), "mixed")
     for level in range(depth + 1):
-        by = at.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("n"), F.max_by("comp", "m").alias("most"), F.max("m").alias("top")).where("n > top")
-        mixed = at.join(by, "node")
         few = F.col("n") - F.col("top")
         small, dense = F.col("n") <= node, few <= node // 2
         k = F.ceil(F.col("n") / (node // 2)).cast("int")
@@ -264,11 +276,11 @@ def _later_blocks(sets: DataFrame, trees: range, node: int, branches: int, depth
             pairs = F.transform(everywhere, lambda j: F.xxhash64("node", F.least(mine, j), F.greatest(mine, j)))
             yield large.withColumn("block", F.explode(pairs))
             return
-        large = materialise(large.select(*at.columns), "large")
         if not large.limit(1).count():
             return
         child = lambda b: F.xxhash64("node", F.lit(b), _token(F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int")))
-        at = large.withColumn("node", F.explode(F.array(*[child(b) for b in range(branches)])))
+        at = large.select("id", "comp", "tokens", "s0", "s1", "s2", "s3", F.explode(F.array(*[child(b) for b in range(branches)])).alias("node"))
+        mixed = materialise(_mixed(at), "mixed")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, first_trees: int = FIRST_TREES, node: int = NODE, branches: int = BRANCHES, depth: int = DEPTH, least_equal: int = LEAST_EQUAL) -> DataFrame:
@@ -277,24 +289,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if 100 * intersection >= ``percent`` * union of their shingle sets; a
     component's name is its smallest id and only that row is kept.  Texts without words (null, empty,
     white space) are linked with nothing.  A row without an id is linked with nothing: its component
-    is null and it is kept.  Rows that repeat an id and text are copies of each other; texts that
-    share an id are each judged alone.  An empty table gives an empty table; other columns are not read.
+    is null and it is kept.  Rows that repeat an id and text are copies of each other; of different texts
+    that share an id, each has the component of its own set.  An empty table gives an empty table;
+    other columns are not read.
     """
     sig = materialise(signatures(docs, id_col, text_col), "signatures")
+    sketches = ["s0", "s1", "s2", "s3"]
     with_set = sig.where("id is not null and n_shingles > 0")
     copies = materialise(with_set.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep")), "copies")
-    sets = with_set.join(copies, ["f1", "f2", "n_shingles"]).where("id = rep").dropDuplicates(["id", "f1", "f2"]).select("id", "tokens", "s0", "s1", "s2", "s3", F.col("id").alias("comp"))
-    sets = materialise(sets, "sets")
+    one = copies.select("f1", "f2", "n_shingles", F.col("rep").alias("id"))
+    key = ["id", "f1", "f2", "n_shingles"]
 
-    close = _close(_first_blocks(sets, range(first_trees), node), least_equal)
+    roots = with_set.select(*key, *sketches, F.array(*[_root(t) for t in range(first_trees)]).alias("nodes")).join(one, key, "left_semi")
+    at = roots.select("id", F.col("id").alias("comp"), *sketches, F.explode("nodes").alias("node"))
+    close = _close(_first_blocks(materialise(at, "roots"), node), least_equal)
     first = connected_components(_compare(close, docs, id_col, text_col, percent))
-    known = sets.drop("comp").join(first.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    known = materialise(known, "known")
-    blocks = [b.select("block", "id", "comp", "s0", "s1", "s2", "s3") for b in _later_blocks(known, range(first_trees, trees), node, branches, depth)]
+    known = with_set.select(*key, "tokens", *sketches).join(one, key, "left_semi").join(first.withColumnRenamed("v", "id"), "id", "left")
+    known = materialise(known.select("id", "tokens", *sketches, F.coalesce("component", "id").alias("comp")), "known")
+    blocks = [b.select("block", "id", "comp", *sketches) for b in _later_blocks(known, range(first_trees, trees), node, branches, depth)]
     rest = blocks[0]
     for b in blocks[1:]:
         rest = rest.union(b)
-    second = connected_components(_compare(materialise(_close(rest, least_equal), "close"), docs, id_col, text_col, percent))
+    second = connected_components(_compare(_close(rest, least_equal), docs, id_col, text_col, percent))
 
     final = known.select(F.col("id").alias("rep"), "comp").join(second.select(F.col("v").alias("comp"), "component"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component_id"))
     named = copies.join(final, "rep", "left").select("f1", "f2", "n_shingles", "component_id")
