@@ -13,16 +13,19 @@ import os
 import re
 import zlib
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: words kept in each of two generations
-KEPT_WORDS = 600_000
+KEPT_WORDS = 350_000
 LONGEST_KEPT = 48
 #: stands between new words where ids alone don't show where a word ends; words that hold it go alone
 MARK = "\x01"
+#: signs that end a word and are a token run of their own after a letter or digit
 _STOPS = (".", ",")
-_SPACE_THEN_SPACE = re.compile(r" \s")
+#: white space next to white space, and white space other than the space and the line feed
+_SPACES = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
@@ -42,11 +45,15 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.before = " " if self.mode == "space before" else ""
+        self.odd = MARK if self.mode == "words" else " "
+        self.stops = {x: self._ids(x).tobytes() for x in _STOPS}
         if self.mode == "words":
             (self.mark,) = self._ids(MARK).tolist()
             self.edge[[i for w, i in vocab.items() if w.endswith(about["model"]["end_of_word_suffix"])]] = True
         if self.mode == "space before":
             self.edge[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True
+            (self.feed,) = self._ids("\n").tolist()
 
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -62,17 +69,11 @@ class WordEncoder:
         return _slices(ids, np.flatnonzero(self.edge[ids]), len(ids), words)
 
     def _split_ended(self, words: list[str]) -> list[bytes]:
-        """Ids that end a run of letters, of signs, or a digit show where plain words end; others get a mark between."""
-        runs = [1 if w.isalpha() else 2 if w[-1:] in _STOPS and w[:-1].isalpha() else 0 for w in words]
-        plain = [w for w, n in zip(words, runs, strict=True) if n]
+        """Ids that end a run of letters show where plain words end; others get a mark between."""
+        plain = [w for w in words if w.isalpha()]
         ids = self._ids(" ".join(plain))
         ends = np.flatnonzero(self.edge[ids]) + 1
-        last = np.cumsum([n for n in runs if n], dtype=np.int64)
-        if plain and last[-1] == len(ends):
-            starts = np.append(0, ends[last - 1][:-1])
-            made = dict(zip(plain, _slices(ids, starts, len(ids), plain), strict=True))
-        else:
-            made = {}
+        made = dict(zip(plain, _slices(ids, np.append(0, ends[:-1]), len(ids), plain), strict=True)) if plain and len(ends) == len(plain) else {}
         if rest := [w for w in words if w not in made]:
             ids = self._ids(f" {MARK} ".join(rest))
             marks = np.flatnonzero(ids == self.mark)
@@ -85,25 +86,61 @@ class WordEncoder:
     def _known(self, words: list[str]) -> list[bytes]:
         ids = list(map(self.known.get, words))
         if None in ids:
-            made = {w: self.older.get(w) for w in {w for w, x in zip(words, ids, strict=True) if x is None}}
-            odd = MARK if self.mode == "words" else " "
-            before = "" if self.mode == "words" else " "
-            new = [w for w, x in made.items() if x is None and odd not in w]
-            made.update(zip(new, self._split(new), strict=True) if new else ())
-            made.update((w, self._ids(before + w).tobytes()) for w, x in made.items() if x is None)
+            known, older = self.known, self.older
+            made: dict[str, bytes] = {}
+            new: dict[str, None] = {}
+            stopped: list[str] = []
+            for w in dict.fromkeys([w for w, x in zip(words, ids, strict=True) if x is None]):
+                x = older.get(w)
+                if x is not None:
+                    made[w] = x
+                elif w[-1:] in self.stops and w[-2:-1].isalnum():
+                    stopped.append(w)
+                    base = w[:-1]
+                    x = known.get(base) or older.get(base)
+                    if x is None:
+                        new[base] = None
+                    else:
+                        made[base] = x
+                else:
+                    new[w] = None
+            if new:
+                joined = [w for w in new if self.odd not in w and w[:1] != "\n"] if self.mode != "words" or self.odd in "".join(new) else list(new)
+                made.update(zip(joined, self._split(joined), strict=True) if joined else ())
+                if len(joined) < len(new):
+                    made.update(self._apart([w for w in new if w not in made]))
+            if len(known) > KEPT_WORDS:
+                self.known, self.older = {}, known
+            for w in stopped:
+                made[w] = made[w[:-1]] + self.stops[w[-1]]
+            self.known.update(made if max(map(len, made)) <= LONGEST_KEPT else {w: x for w, x in made.items() if len(w) <= LONGEST_KEPT})
             ids = [made[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            if len(self.known) > KEPT_WORDS:
-                self.known, self.older = {}, self.known
-            self.known.update((w, x) for w, x in made.items() if len(w) <= LONGEST_KEPT)
         return ids
 
+    def _apart(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of odd words: those that follow a line feed, in one text, and those that hold what keeps others apart."""
+        after = [w for w in words if w[:1] == "\n" and self.mode != "words" and self.odd not in w and "\n" not in w[1:]]
+        made = {}
+        if after:
+            ids = self._ids("".join(after))
+            made = dict(zip(after, _slices(ids, np.flatnonzero(ids == self.feed), len(ids), after), strict=True))
+        return made | {w: self._ids(w if w[:1] == "\n" else self.before + w).tobytes() for w in words if w not in made}
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if self.mode == "words":
+            text = text.replace("\n", " ")
+            if text.isascii():
+                text = text.lower()
+            elif is_normalized("NFC", text) and is_normalized("NFC", low := text.encode().lower().decode()):
+                text = low  # A-Z only; the tokenizer lowers the rest
             return b"".join(self._known(text.split(" ")))
         if self.mode == "space before":
-            first, *later = _BEFORE_WORD.split(text) if _SPACE_THEN_SPACE.search(text) else text.split(" ")
+            if any(map(text.__contains__, _SPACES)) or text[0] == "\n" or text[-1] == "\n":
+                first, *later = _BEFORE_WORD.split(text)
+            else:  # a line feed and the word after it count as one word
+                first, *later = text.replace("\n", " \n").split(" ")
             end = [b""]
             if later and not later[-1]:  # a space that ends the text
                 later.pop()
