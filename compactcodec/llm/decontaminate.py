@@ -12,7 +12,9 @@ benchmark is taken in blocks of ``BLOCK`` items, which bounds what a task holds
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -73,11 +75,11 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text_col
     n = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, known = np.zeros(n + 1, np.int64), vocabulary.keys()
+        df, known = np.zeros(n + 1, np.int64), frozenset(vocabulary)
         for batch in batches:
             for text in batch.column(0):
                 df[-1] += 1
-                if hit := known & set(words_of(text.as_py())):
+                if hit := known.intersection(words_of(text.as_py())):
                     df[[vocabulary[w] for w in hit]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["word", "n"])
@@ -136,8 +138,7 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
 
 
 def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray, most_idf: float, space: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    weight = np.zeros((len(vocabulary) + 1, space.shape[1]), np.float32)
-    weight[:-1] = idf[:, None] * space
+    weight = (idf[:, None] * space).astype(np.float32)
     square = np.append(idf, most_idf).astype(np.float32) ** 2
     rows = np.zeros((len(items), space.shape[1]), np.float32)
     for r, (_, words) in enumerate(items):
@@ -145,14 +146,22 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
         rows[r] = x @ space[at]
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
+    counts = [Counter(words) for _, words in items]
+
     def one(text: str | None) -> dict[int, float]:
         words = words_of(text)
         n, found = len(words), {}
         if n < LEAST_WORDS:
             return found
-        ids = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, n)
+        ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, n)
         cuts = np.arange(0, n, STRIDE)
-        sums, norm = np.add.reduceat(weight[ids], cuts, axis=0), np.add.reduceat(square[ids], cuts)
+        norm = np.add.reduceat(square[ids], cuts)
+        at = np.flatnonzero(ids >= 0)  # other words are beyond the space
+        first = np.searchsorted(at, cuts)
+        some = np.flatnonzero(first < np.append(first[1:], len(at)))
+        sums = np.zeros((len(cuts), weight.shape[1]), np.float32)
+        if len(some):
+            sums[some] = np.add.reduceat(weight[ids[at]], first[some], axis=0)
         wide = max(1, WINDOW // STRIDE)
         if len(cuts) > wide:
             total, size = np.cumsum(sums, axis=0), np.cumsum(norm)
@@ -168,7 +177,11 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
                 continue
             reach = max(WINDOW, len(item_words))
             start, end = at * STRIDE - reach, at * STRIDE + WINDOW + reach
-            if score := judge(item_words, words[max(0, start) : end]):
+            region = words[max(0, start) : end]
+            shared = counts[item].keys() & region
+            if sum(map(counts[item].__getitem__, shared)) < LCS_WITH_ANSWER * len(item_words):
+                continue  # no subsequence is longer than what they share
+            if score := judge(item_words, [w for w in region if w in shared]):
                 found[item_id] = max(found.get(item_id, 0.0), score)
         return found
 
