@@ -311,7 +311,7 @@ def split_key(content: str) -> tuple[str, str]:
     at = content.find(":")
     if at < 0:
         raise CodecError("no colon after a key")
-    return trim(content[:at]), content[at + 1 :]
+    return content[:at].strip(), content[at + 1 :]
 
 
 def assign(values: list, fields: tuple[Field, ...], at: int = 0) -> tuple[dict, int]:
