@@ -110,8 +110,8 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
             out, seen = np.zeros((n, basis.shape[1])), False
             for batch in batches:
                 for text in batch.column(0):
-                    words = words_of(text.as_py())
-                    if words:
+                    words = [w for w in words_of(text.as_py()) if w in vocabulary]
+                    if len(words) >= LEAST_WORDS:
                         at, x = _passage(words, vocabulary, idf)
                         out[at] += np.outer(x, x @ basis[at])
                         seen = True
