@@ -33,6 +33,8 @@ OUTSIDE = frozenset("nav footer aside form script style noscript template iframe
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: elements that leave no gap in the text around them
+UNSEEN = INLINE | frozenset("script style template noscript meta link".split())
 #: class, id and role words of what is not content
 OUTSIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion menu menubar nav navbar navigation navigationbar breadcrumb breadcrumbs sidebar sidebars aside complementary header masthead banner footer contentinfo cookie cookies consent notice notices gdpr disclaimer alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus discussion toolbar pagination pager search widget widgets".split())
 #: start tags that end an open element of these names
@@ -125,7 +127,7 @@ def tokenise(page: str) -> list[Token]:
                 at = end.end() if end else n
             elif tag not in VOID and not attrs.rstrip().endswith("/"):
                 stack.append((tag, outside, inside))
-        out.append(Token(None, tag, inside, outside, tag not in INLINE))
+        out.append(Token(None, tag, inside, outside, tag not in UNSEEN))
     text(page[at:])
     return out
 
@@ -194,9 +196,9 @@ def main_text(page: str | None, weights: dict[str, dict[str, float]]) -> str:
 
 
 def labelled_sample(pages: DataFrame, html_col: str = "html", most: int = SAMPLE) -> list[str]:
-    """At most ``most`` pages that mark their article, the same ones each time; they alone reach the driver."""
-    marked = pages.where(F.col(html_col).rlike("(?i)<(?:article|main)[ >]")).select(html_col, F.xxhash64(html_col).alias("h"))
-    return [r[0] for r in marked.orderBy("h", html_col).limit(most).collect()]
+    """The first ``most`` pages that mark their article; they alone reach the driver, and only as many partitions are read as hold them."""
+    marked = pages.where(F.col(html_col).rlike("(?i)<(?:article|main)[ >]"))
+    return [r[0] for r in marked.select(html_col).limit(most).collect()]
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", weights: dict | None = None) -> DataFrame:
