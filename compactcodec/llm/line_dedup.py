@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compactcodec.llm.common import WHITE, ascii_lower
+from compactcodec.llm.common import WHITE, ascii_lower, materialise
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -39,6 +39,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keys = line_keys(docs, id_col, text_col, min_chars)
     common = keys.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("holder")).where(F.col("n") >= min_docs).drop("n")
+    common = materialise(common, "common")  # read anew, so that the join below can split a frequent line
     dropped = keys.join(common, ["h1", "h2"]).where(F.col("id") != F.col("holder"))
     dropped = dropped.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_list("pos").alias("__pos"))
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
