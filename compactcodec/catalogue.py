@@ -152,6 +152,20 @@ def decode_objects_orders(spark, sf_dir):
     return found.select("v.id", "v.customer.key", "v.customer.priority", F.col("v.tags")[0].alias("status"), "v.total")
 
 
+@query("encode_objects_native", ORACLE_SQL["encode_objects_orders"])
+def encode_objects_native(spark, sf_dir):
+    """The same documents from generated code alone."""
+    record = table(spark, sf_dir, "orders").select("o_orderkey", _order_record().alias("v"))
+    return record.select("o_orderkey", C.object_text(record.schema["v"].dataType, F.col("v")).alias("document"))
+
+
+@query("flat_objects_native", "select o_orderkey as id, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def flat_objects_native(spark, sf_dir):
+    """Flat records as documents and back, from generated code alone."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return df.select(C.object_text(df.schema).alias("d")).select(*C.parse_object(F.col("d"), df.schema))
+
+
 @query("list_form_mixed", f"select n_nationkey, '[3]:' || chr(10) || '  - ' || {S.quoted('n_name')} || chr(10) || '  - id: ' || n_nationkey || chr(10) || '    region: ' || n_regionkey || chr(10) || '  - [2]: 1,' || n_regionkey as document from nation")
 def list_form_mixed(spark, sf_dir):
     value = F.concat(F.lit("["), F.to_json(F.array("n_name")).substr(F.lit(2), F.length(F.to_json(F.array("n_name"))) - 2), F.lit(',{"id":'), F.col("n_nationkey"), F.lit(',"region":'), F.col("n_regionkey"), F.lit("},[1,"), F.col("n_regionkey"), F.lit("]]"))
@@ -245,7 +259,7 @@ def utf8_length_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.utf8_length(F.col("text")).alias("bytes"))
 
 
-@query("estimate_size_nation", "select n_nationkey, cast(length('n_nationkey') + 23 + length('n_name') + 3 + length(n_name) + 2 + length('n_regionkey') + 23 as integer) as size from nation")
+@query("estimate_size_nation", "select n_nationkey, cast(64 + length('n_nationkey') + 24 + length('n_name') + 12 + length(n_name) + length('n_regionkey') + 24 as integer) as size from nation")
 def estimate_size_nation(spark, sf_dir):
     df = table(spark, sf_dir, "nation")
     return df.select("n_nationkey", C.estimate_size(df.schema).alias("size"))

@@ -190,11 +190,87 @@ def utf8_length(c: Column) -> Column:
     return F.octet_length(c)
 
 
-def estimate_size(schema: T.StructType) -> Column:
-    """Upper estimate of the characters of a flat record as an object: names, separators and values."""
-    total = F.lit(0)
+#: fixed values of the size estimate: an object, a key's surroundings, an array, an element, a cell, a string's surroundings
+ESTIMATE = {"object": 64, "key": 8, "array": 64, "element": 16, "cell": 16, "string": 4, "other": 16}
+
+
+def estimate_size(schema: T.StructType, of: Column | None = None) -> Column:
+    """Estimated characters of a record's document, from its keys and the lengths of its strings and arrays."""
+    total = F.lit(ESTIMATE["object"])
     for f in schema.fields:
-        c = F.col(f"`{f.name}`")
-        size = F.char_length(c) + 2 if isinstance(f.dataType, T.StringType) else F.lit(5) if isinstance(f.dataType, T.BooleanType) else F.lit(20)
-        total = total + F.lit(len(f.name) + 3) + F.coalesce(size, F.lit(4))
+        c, kind = F.col(f"`{f.name}`") if of is None else of.getField(f.name), f.dataType
+        other = F.lit(ESTIMATE["other"])
+        if isinstance(kind, T.StructType):
+            size = F.when(c.isNull(), other).otherwise(estimate_size(kind, c))
+        elif isinstance(kind, T.ArrayType):
+            each = len(kind.elementType.fields) * ESTIMATE["cell"] + ESTIMATE["element"] if isinstance(kind.elementType, T.StructType) else ESTIMATE["element"]
+            size = F.when(c.isNull(), other).otherwise(F.size(c) * each + ESTIMATE["array"])
+        elif isinstance(kind, T.StringType):
+            size = F.coalesce(F.char_length(c) + ESTIMATE["string"], other)
+        else:
+            size = other
+        total = total + (len(f.name) + ESTIMATE["key"]) + size
     return total
+
+
+# ---------------------------------------------------------------- objects
+
+
+def _is_cell(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.VariantType))
+
+
+def _may_be_keyed(schema: T.StructType) -> bool:
+    """Could a record of this schema be a table by key, which depends on its values?"""
+    inner = [f.dataType for f in schema.fields]
+    return len(inner) >= 2 and all(isinstance(k, T.StructType) for k in inner) and len({frozenset(k.names) for k in inner}) == 1
+
+
+def has_native_object(schema: T.DataType) -> bool:
+    """Does the schema alone decide the form of its documents: cells, arrays of cells, and objects of such?"""
+    if not isinstance(schema, T.StructType) or not schema.fields or _may_be_keyed(schema):
+        return False
+    return all(_is_cell(f.dataType) or isinstance(f.dataType, T.ArrayType) and _is_cell(f.dataType.elementType) or has_native_object(f.dataType) for f in schema.fields)
+
+
+def object_text(schema: T.StructType, of: Column | None = None, indent: int = 2, delimiter: str = ",", length_marker: str = "", depth: int = 0) -> Column:
+    """The document of a record, without Python, for schemas that ``has_native_object`` accepts; doubles as in ``number_text``."""
+    if not has_native_object(schema):
+        raise TypeError(f"the values of {schema.simpleString()} decide the form of its documents")
+    pad, parts = " " * (indent * depth), []
+    for f in schema.fields:
+        c, kind, name = F.col(f"`{f.name}`") if of is None else of.getField(f.name), f.dataType, scalars.quote_key(f.name)
+        null = F.lit(f"{pad}{name}: null")
+        if isinstance(kind, T.StructType):
+            inner = object_text(kind, c, indent, delimiter, length_marker, depth + 1)
+            parts.append(F.when(c.isNull(), null).otherwise(F.concat(F.lit(f"{pad}{name}:\n"), inner)))
+        elif isinstance(kind, T.ArrayType):
+            parts.append(F.coalesce(F.concat(F.lit(pad), inline_array(f.name, c, kind.elementType, delimiter, length_marker)), null))
+        else:
+            parts.append(F.concat(F.lit(f"{pad}{name}: "), cell(c, kind, delimiter)))
+    return F.concat_ws("\n", *parts)
+
+
+def _typed(kind: T.DataType):
+    return lambda x: parse_cell(x, kind)
+
+
+def parse_object(doc: Column, schema: T.StructType, delimiter: str = ",") -> list[Column]:
+    """Typed columns of a document of cells and inline arrays at the margin, without Python.
+
+    It reads what ``object_text`` writes for such a schema; a field that is missing, or that another
+    writer lays out in another way, is null.  Other documents are for the kernel.
+    """
+    out = []
+    lines = F.concat(F.lit("\n"), doc)
+    for f in schema.fields:
+        name = re.escape(scalars.quote_key(f.name))
+        if isinstance(f.dataType, T.ArrayType):
+            head = rf"\n{name}(?:: \[\]|\[#?[0-9]+{_java(delimiter) if delimiter != ',' else ''}\]: ([^\n\r]*+))"
+            element = f.dataType.elementType
+            values = F.transform(split_cells(F.regexp_extract(lines, head, 1), delimiter), _typed(element))
+            out.append(F.when(lines.rlike(head), values).alias(f.name))
+        else:
+            rx = rf"\n{name}: ([^\n\r]*+)"
+            out.append(F.when(lines.rlike(rx), parse_cell(trim_space(F.regexp_extract(lines, rx, 1)), f.dataType)).alias(f.name))
+    return out

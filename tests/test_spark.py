@@ -80,6 +80,21 @@ def test_documents_of_any_shape(spark):
     assert C.infer_schema(bad.limit(1), "d").simpleString() == "struct<a:bigint>"
 
 
+def test_native_objects_equal_the_kernel(spark):
+    odd = strings(150)
+    data = [(i, s, odd[i : i + i % 4], (s, [i] * (i % 3)) if i % 5 else None, None if i % 7 else True) for i, s in enumerate(odd)]
+    df = spark.createDataFrame(data, "`a b` int, s string, l array<string>, n struct<x:string,y:array<int>>, b boolean")
+    for delimiter, indent, marker in ((",", 2, ""), ("|", 4, "#")):
+        made = [r["d"] for r in df.select(C.object_text(df.schema, None, indent, delimiter, marker).alias("d")).collect()]
+        want = [{"a b": i, "s": s, "l": x, "n": n and {"x": n[0], "y": n[1]}, "b": b} for i, s, x, n, b in data]
+        assert made == [text.dumps(v, indent, delimiter, marker) for v in want]
+    flat = df.select("a b", "s", "l", "b")
+    back = flat.select(C.object_text(flat.schema).alias("d")).select(*C.parse_object(F.col("d"), flat.schema))
+    assert [tuple(r) for r in back.collect()] == [(i, s, x, b) for i, s, x, _, b in data]
+    assert not C.has_native_object(T._parse_datatype_string("a struct<x:int>, b struct<x:int>"))
+    assert not C.has_native_object(T._parse_datatype_string("a array<struct<x:int>>"))
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(1, [1.5, 2.5], {"k": "v"}), (2, None, {})], "i long, v array<float>, m map<string,string>")
     made = df.select(C.to_cbin(F.struct("i", "v")).alias("m"))
