@@ -38,8 +38,13 @@ def escape_text(c: Column) -> Column:
     return F.when(c.rlike(_OTHER_RX), _replace(named, _OTHER)).otherwise(named)
 
 
+#: plain words, which most cells are; one simple expression finds them
+_PLAIN = "^[A-Za-z](?:[A-Za-z0-9 _.]*[A-Za-z0-9])?$"
+
+
 def quote_text(c: Column, delimiter: str = ",") -> Column:
-    return F.when(is_bare(c, delimiter), c).otherwise(F.concat(F.lit('"'), escape_text(c), F.lit('"')))
+    plain = c.rlike(_PLAIN) & ~c.isin(*scalars.LITERALS) & ~c.endswith("\n")
+    return F.when(plain | is_bare(c, delimiter), c).otherwise(F.concat(F.lit('"'), escape_text(c), F.lit('"')))
 
 
 def quote_key_text(c: Column) -> Column:
@@ -60,7 +65,7 @@ def number_text(c: Column, kind: T.DataType) -> Column:
         return F.when(plain.contains("."), plain).when(F.abs(c) <= 2**53 - 1, plain).otherwise(F.concat(F.lit('"'), plain, F.lit('"')))
     x = c.cast("double")
     whole = (x == F.floor(x)) & (F.abs(x) < 2.0**53)
-    fixed = F.regexp_replace(x.cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
+    fixed = F.rtrim(x.cast("decimal(18,6)").cast("string"), F.lit("0"))  # not whole, so a decimal stays
     text = F.when(F.isnan(x) | (F.abs(x) == float("inf")), "null").when(whole, x.cast("bigint").cast("string"))
     return text.when((F.abs(x) < 1e9) & (F.round(x, 6) == x), fixed).otherwise(F.raise_error(F.concat(F.lit("no fixed-point number: "), x.cast("string"))))
 
@@ -75,9 +80,11 @@ def canonical_number(c: Column, form: str = "canonical") -> Column:
 
 
 def time_text(c: Column, utc: bool) -> Column:
-    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    fine = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.when(fine.endswith("000"), whole).otherwise(fine), F.lit("Z" if utc else ""))
+    """ISO 8601 with three digits of a second, or six where three don't do."""
+    c = F.to_utc_timestamp(c, F.current_timezone()) if utc else c
+    text = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+    n = F.length(text)
+    return F.concat(F.when(n == 19, F.concat(text, F.lit(".000"))).when(n <= 23, F.rpad(text, 23, "0")).otherwise(F.rpad(text, 26, "0")), F.lit("Z" if utc else ""))
 
 
 def cell(c: Column, kind: T.DataType, delimiter: str = ",") -> Column:
@@ -134,7 +141,7 @@ def inline_array(key: str | None, c: Column, element: T.DataType, delimiter: str
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, "^ +|[ \\r]+$", "")
+    return F.rtrim(F.ltrim(c), F.lit(" \r"))
 
 
 def split_cells(line: Column, delimiter: str = ",") -> Column:
@@ -142,7 +149,8 @@ def split_cells(line: Column, delimiter: str = ",") -> Column:
     d = _java(delimiter)
     rx = f'{d}((?:"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"|[^{d}"]++)*+)'
     found = F.transform(F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rx), F.lit(1)), trim_space)
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(found)
+    plain = F.transform(F.split(line, d, -1), trim_space)
+    return F.when(line == "", F.array().cast("array<string>")).when(line.contains('"'), found).otherwise(plain)
 
 
 def unescape_text(c: Column) -> Column:

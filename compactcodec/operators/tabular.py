@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from compactcodec.functions.columns import header_text, parse_row, quote_key_text, row_line
+from compactcodec.functions.columns import header_text, parse_row, quote_key_text, row_line, trim_space
 
 
 def _body(lines: Column, indent: int) -> Column:
@@ -60,7 +60,7 @@ def decode_lines(lines: DataFrame, column: str, schema: T.StructType, delimiter:
 def explode_rows(docs: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
     """``keep``, ``row_idx`` and ``line`` of documents that are one flat table each; no Python."""
     body = F.filter(F.split(F.col(column), "\n"), lambda x, i: (i > 0) & (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
-    return docs.select(*(keep or []), F.posexplode(F.transform(body, lambda x: F.regexp_replace(x, "^ +|[ \\r]+$", ""))).alias("row_idx", "line"))
+    return docs.select(*(keep or []), F.posexplode(F.transform(body, trim_space)).alias("row_idx", "line"))
 
 
 def decode_tables(docs: DataFrame, column: str, schema: T.StructType, delimiter: str = ",", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
-    return path
+    return re.sub("^file:/(?!/)", "file:///", fs.makeQualified(hadoop).toString())
 
 
 def scratch(spark: SparkSession, what: str) -> str:

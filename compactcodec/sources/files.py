@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from compactcodec.functions.codec import from_ctext, to_cbin
-from compactcodec.functions.columns import field_list, row_line
+from compactcodec.functions.columns import field_list, row_line, trim_space
 from compactcodec.kernel import scalars
 from compactcodec.kernel.text import MARKS
 from compactcodec.operators.tabular import decode_lines, decode_tables
@@ -47,7 +47,7 @@ def read_big_table(spark: SparkSession, path: str, schema: T.StructType | str, d
     looked at.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    lines = spark.read.text(path, lineSep="\n").where(F.col("value").startswith(" ")).select(F.regexp_replace("value", "^ +|[ \\r]+$", "").alias("line"))
+    lines = spark.read.text(path, lineSep="\n").where(F.col("value").startswith(" ")).select(trim_space(F.col("value")).alias("line"))
     return decode_lines(lines.where((F.col("line") != "") & ~F.col("line").startswith("#")), "line", kind, delimiter)
 
 
