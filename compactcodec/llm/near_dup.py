@@ -243,7 +243,7 @@ def _root(tree: int) -> F.Column:
 
 def _first_blocks(at: DataFrame, node: int) -> DataFrame:
     """Blocks of the nodes of ``at`` (node, id, ...): a large node is cut by a hash, and some random members are in each part."""
-    many = at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    many = materialise(at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
     k = F.ceil(F.col("n") / node).cast("int")
     mine = F.pmod(F.xxhash64("id"), k).cast("int")
     leader = F.pmod(F.xxhash64(F.lit(3), "node", "id"), F.ceil(F.col("n") / LEADERS)) == 0
@@ -254,7 +254,7 @@ def _first_blocks(at: DataFrame, node: int) -> DataFrame:
 def _mixed(at: DataFrame) -> DataFrame:
     """The rows of nodes with more than one component, with the node's size, largest component and its size."""
     by = at.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("n"), F.max_by("comp", "m").alias("most"), F.max("m").alias("top")).where("n > top")
-    return at.join(by, "node")
+    return at.join(materialise(by, "nodes"), "node")  # read anew, so that the join can split a large node
 
 
 def _later_blocks(known: DataFrame, trees: range, node: int, branches: int, depth: int) -> Iterator[DataFrame]:
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rest.union(b)
     second = connected_components(_compare(_close(rest, least_equal), docs, id_col, text_col, percent))
 
-    final = known.select(F.col("id").alias("rep"), "comp").join(second.select(F.col("v").alias("comp"), "component"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component_id"))
+    final = known.select(F.col("id").alias("rep"), "comp").join(second.select(F.col("v").alias("comp"), "component"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component_id")).distinct()
     named = copies.join(final, "rep", "left").select("f1", "f2", "n_shingles", "component_id")
     out = sig.select("id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
