@@ -66,8 +66,10 @@ def resolve_revisits(captures: DataFrame, span: int = SPAN) -> DataFrame:
     near = F.max(full).over(Window.partitionBy("key", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
     found = timed.withColumn("near", near).where("kind = 'revisit'").join(carried, ["key", "span"]).select("record_id", F.coalesce("near", "before")["record_id"].alias("resolved_id")).distinct()
     fresh = captures.where("kind = 'revisit'").select("record_id", "url", "at", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_modified"), F.col("headers").alias("new_headers"))
-    stored = captures.where("kind = 'response'").select(F.col("record_id").alias("resolved_id"), "etag", "last_modified", "headers", "body").dropDuplicates(["resolved_id"])
-    both = fresh.join(found, "record_id", "left").join(stored, "resolved_id", "left")
+    stored = captures.where("kind = 'response'").select(F.col("record_id").cast("string").alias("hit"), "etag", "last_modified", "headers", "body").dropDuplicates(["hit"])
+    # what has no earlier response is dealt by its own id, not all to one task
+    hit = F.coalesce(F.col("resolved_id").cast("string"), F.concat(F.lit("none "), F.col("record_id").cast("string")))
+    both = fresh.join(found, "record_id", "left").withColumn("hit", hit).join(stored, "hit", "left")
     tag = lambda c: F.regexp_replace(c, "^W/", "")
     agree = F.when(F.col("new_etag").isNotNull(), tag("new_etag") == tag("etag")).otherwise(F.col("new_modified") == F.col("last_modified"))
     status = F.when(F.col("resolved_id").isNull(), MISSING).when(F.coalesce(agree, F.lit(False)), RESOLVED).otherwise(MISMATCH)
