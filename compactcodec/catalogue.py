@@ -16,7 +16,7 @@ from compactcodec.operators import rows as R
 from compactcodec.operators import rowschema, sessions, tabular
 from compactcodec.plans import decode_join_encode
 from compactcodec.plans import sql as S
-from compactcodec.scratch import scratch
+from compactcodec.scratch import scratch, spread
 from compactcodec.streaming import decode_session_stream, read_document_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ GROUPS = {"region": ("r_regionkey", "r_name"), "nation": ("n_regionkey", "n_nati
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None):

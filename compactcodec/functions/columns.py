@@ -15,7 +15,6 @@ from compactcodec.kernel import scalars
 from compactcodec.kernel.text import MARKS
 
 _NAMED = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-_OTHER = [(chr(c), f"\\u{c:04x}") for c in range(32) if c not in (9, 10, 13)]
 _OTHER_RX = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
 
@@ -34,8 +33,11 @@ def is_bare(c: Column, delimiter: str = ",") -> Column:
 
 
 def escape_text(c: Column) -> Column:
+    """Quotes, backslashes and control characters escaped.  Signs other than the five with a name are rare; they go through an array, which keeps the generated method small enough to be compiled."""
     named = _replace(c, _NAMED)
-    return F.when(c.rlike(_OTHER_RX), _replace(named, _OTHER)).otherwise(named)
+    code = lambda x: F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(x)), 2, "0")))
+    odd = F.array_join(F.transform(F.split(named, ""), lambda x: F.when(x.rlike(_OTHER_RX), code(x)).otherwise(x)), "")
+    return F.when(c.rlike(_OTHER_RX), odd).otherwise(named)
 
 
 #: plain words, which most cells are; one simple expression finds them
@@ -156,7 +158,9 @@ def split_cells(line: Column, delimiter: str = ",") -> Column:
 def unescape_text(c: Column) -> Column:
     """Reverse of ``escape_text``; other escapes than those it writes are left to the kernel."""
     back = [("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')]
-    one = lambda p: F.when(p.contains("\\u00"), _replace(_replace(p, back), [(b, a) for a, b in _OTHER])).otherwise(_replace(p, back))
+    sign = lambda x: F.concat(F.chr(F.conv(F.left(x, F.lit(2)), 16, 10).cast("int")), F.substr(x, F.lit(3)))
+    coded = lambda p: F.array_join(F.transform(F.split(p, r"\\u00", -1), lambda x, i: F.when(i == 0, x).otherwise(sign(x))), "")
+    one = lambda p: F.when(p.contains("\\u00"), coded(_replace(p, back))).otherwise(_replace(p, back))
     return F.when(c.contains("\\"), F.array_join(F.transform(F.split(c, re.escape("\\\\"), -1), one), "\\")).otherwise(c)
 
 

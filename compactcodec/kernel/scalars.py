@@ -212,15 +212,18 @@ def parse_number(token: str) -> int | float:
     return 0 if x == 0 else x
 
 
+_VALUES = {"true": True, "false": False, "null": None}
+
+
 def parse_token(token: str):
     token = trim(token)
     if not token:
         return ""
     if token[0] == '"':
         return string_literal(token)
-    if token in LITERALS:
-        return {"true": True, "false": False, "null": None}[token]
-    if is_numeric_literal(token):
+    if token in _VALUES:
+        return _VALUES[token]
+    if token[0] in "-0123456789" and is_numeric_literal(token):
         return parse_number(token)
     return token
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from compactcodec.kernel.scalars import CodecError, closing_quote, find_unquoted, normalise, parse_token, primitive, quote_key, split_cells, string_literal, trim
 
@@ -220,6 +221,8 @@ def _field_list(s: str, delimiter: str) -> tuple[Field, ...] | None:
 
 def parse_header(content: str) -> Header | None:
     """The array header that a line is or starts with, or None."""
+    if "[" not in content:
+        return None
     key = None
     if content.startswith('"'):
         end = closing_quote(content, 0)
@@ -259,8 +262,7 @@ def parse_header(content: str) -> Header | None:
 # ---------------------------------------------------------------- lines
 
 
-@dataclass(frozen=True)
-class Line:
+class Line(NamedTuple):
     depth: int
     content: str
     number: int
@@ -270,16 +272,18 @@ def scan(text: str, indent: int = 2, strict: bool = True) -> tuple[list[Line], l
     """Lines that count, and the numbers of blank ones; comments go."""
     lines, blanks = [], []
     for number, raw in enumerate(text.removeprefix("﻿").split("\n"), 1):
-        raw = raw.rstrip("\r")
+        if raw.endswith("\r"):
+            raw = raw.rstrip("\r")
         content = raw.lstrip(" ")
-        if not content.strip(" \t\r"):
-            blanks.append(number)
-            continue
-        if content[0] == "#":
-            continue
+        if not content or content[0] in "\t\r#":
+            if not content.strip(" \t\r"):
+                blanks.append(number)
+                continue
+            if content[0] == "#":
+                continue
+            if strict and content[0] == "\t":
+                raise CodecError(f"line {number}: a tab in the indentation")
         spaces = len(raw) - len(content)
-        if strict and content[0] == "\t":
-            raise CodecError(f"line {number}: a tab in the indentation")
         if strict and spaces % indent:
             raise CodecError(f"line {number}: indentation is no multiple of {indent}")
         lines.append(Line(spaces // indent, content, number))

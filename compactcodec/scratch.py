@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""What reads and writes share: the folder that driver and executors share, and the spread of small inputs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: bytes of an input below which dealing it out anew costs next to nothing
+SMALL = 256 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in fewer files than there are cores, dealt to all cores by its first column; any other input as it is.
+
+    One file of one row group is one task however many cores wait.  The size bound keeps this from
+    moving anything that counts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= SMALL and len(df.inputFiles()) < cores:
+        return df.repartition(cores, df.columns[0])  # by a key, which needs no sort
+    return df
