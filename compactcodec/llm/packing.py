@@ -108,7 +108,7 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["sequence_id long", "offset long"])
     capacity = np.array([max_tokens, max_docs, max_attention], float)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         size = rows["length"].to_numpy(np.int64)
         bins, offset = best_fit(np.stack([size, np.ones_like(size), size**2], axis=1), capacity, weights, method)
