@@ -24,6 +24,8 @@ LONGEST_KEPT = 48
 MARK = "\x01"
 #: signs that end a word and are a token run of their own after a letter or digit
 _STOPS = (".", ",")
+#: before a stop only Latin letters and digits count as such; one of them becomes a letter and a mark in lower case
+_BEYOND, _SPLITS = "\u0250", "\u0130"
 #: white space next to white space, and white space other than the space and the line feed
 _SPACES = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 _BEFORE_WORD = re.compile(r" (?=\S)")
@@ -94,7 +96,7 @@ class WordEncoder:
                 x = older.get(w)
                 if x is not None:
                     made[w] = x
-                elif w[-1:] in self.stops and w[-2:-1].isalnum():
+                elif w[-1:] in self.stops and w[-2:-1].isalnum() and w[-2] < _BEYOND and w[-2] != _SPLITS:
                     stopped.append(w)
                     base = w[:-1]
                     x = known.get(base) or older.get(base)
