@@ -83,7 +83,7 @@ def quote_key(s: str) -> str:
 
 
 def number(x: int | float, form: str = "canonical") -> str:
-    """Digits of a number.  ``plain`` never uses an exponent; values below 1e-20 become 0 then."""
+    """Digits of a number.  ``plain`` has no exponent and at most twenty decimals."""
     if isinstance(x, int):
         return str(x)
     if not math.isfinite(x):
@@ -97,7 +97,9 @@ def number(x: int | float, form: str = "canonical") -> str:
     if 1e-6 <= size < 1e21:
         return format(decimal.Decimal(short), "f")
     if form == "plain":
-        return (format(decimal.Decimal(short), "f") if size >= 1e21 else format(x, ".20f").rstrip("0").rstrip(".")).replace("-0", "0", 1) if size < 5e-21 else format(decimal.Decimal(short), "f")
+        text = f"{x:.20f}" if size < 1e-4 else format(decimal.Decimal(short), "f")
+        text = text.rstrip("0").rstrip(".") if "." in text else text
+        return "0" if text == "-0" else text
     mantissa, _, exponent = short.partition("e")
     power = int(exponent)
     return f"{mantissa.removesuffix('.0')}e{'+' if power > 0 else '-'}{abs(power)}"

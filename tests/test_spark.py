@@ -197,6 +197,17 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_small_inputs_use_all_cores(spark, small, tmp_path):
+    from compactcodec.scratch import scratch, spread
+
+    one = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == one.count()
+    one.repartition(9).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(many) is many
+    assert scratch(spark, "x") != scratch(spark, "x") and "://" in scratch(spark, "x")
+
+
 def test_time_cells(spark):
     df = spark.sql("select timestamp_ntz'2024-01-15 10:30:00' a, timestamp_ntz'2024-01-15 10:30:00.000001' b, timestamp'2024-01-15 10:30:00.5Z' c, date'2024-01-15' d")
     assert df.select(columns.row_line(df.schema).alias("l")).first()["l"] == '"2024-01-15T10:30:00.000","2024-01-15T10:30:00.000001","2024-01-15T10:30:00.500Z","2024-01-15T00:00:00.000"'

@@ -88,7 +88,7 @@ def test_numbers(x, text):
 
 
 def test_plain_numbers():
-    assert scalars.number(1e-7, "plain") == "0.0000001"
+    assert [scalars.number(x, "plain") for x in (1e-7, -1e-21, 1.5e-9, 1e21, 2.5)] == ["0.0000001", "0", "0.0000000015", "1000000000000000000000", "2.5"]
 
 
 def values():
