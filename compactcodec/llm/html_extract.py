@@ -28,7 +28,7 @@ LEAST_TAG, MOST_TAG, MOST_INLINE = 0.02, 2.0, 0.5
 UNSEEN_WORD = 0.5
 
 #: elements whose text is never content
-OUTSIDE = frozenset("nav footer aside form script style noscript template iframe object svg math canvas select option button textarea input label dialog menu head title audio video figure-ad".split())
+OUTSIDE = frozenset("nav footer aside form script style noscript template iframe object svg math canvas select option button textarea input label dialog menu head title audio video".split())
 #: elements whose content is text up to their own end tag
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -131,4 +131,34 @@ select record_id, case when resolved_id is null then 'no earlier response' when
   'content-type: text/html' || chr(10) || 'date: ' || cast("at" as varchar) || chr(10) || 'etag: ' || raw_tag || chr(10) || 'server: ' || case when coalesce(same, false) then 'a' else 'b' end as headers,
   case when coalesce(same, false) then cast(length(html) as bigint) end as n_chars, case when coalesce(same, false) then sha256(html) end as body_sha256
 from joined""".replace("\\\\", "\\"),
+    "op3_near_dup": rf"""
+with recursive rows_ as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct r, doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s
+  from (select r, doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from rows_ where len(w) > 0)),
+sizes as (select r, doc_id, count(*) as n from shingles group by r, doc_id),
+both_ as (select a.r as x, b.r as y, count(*) as n from shingles a join shingles b on a.s = b.s and a.r < b.r group by a.r, b.r),
+linked as (select distinct p.doc_id as x, q.doc_id as y from both_ join sizes p on p.r = x join sizes q on q.r = y where 100 * both_.n >= 75 * (p.n + q.n - both_.n)),
+edges as (select x, y from linked union select y, x from linked),
+reach as (select doc_id as x, doc_id as c from documents union select e.y, reach.c from reach join edges e on e.x = reach.x),
+named as (select x, min(c) as component_id from reach group by x)
+select rows_.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, rows_.doc_id = component_id as kept
+from rows_ left join sizes using (r) join named on named.x = rows_.doc_id""",
+    "op7_quality_rules": rf"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+words as (select r, unnest(w) as w, generate_subscripts(w, 1) as pos from (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from docs)),
+grams as (select r, w, pos, {", ".join(f"case when lead(w, {n - 1}) over of is not null then " + " || ' ' || ".join(f"lead(w, {k}) over of" for k in range(n)) + f" end as g{n}" for n in (4, 8, 12))} from words window of as (partition by r order by pos)),
+twice as (select r, w, pos, {", ".join(f"g{n} is not null and count(*) over (partition by r, g{n}) > 1 as d{n}" for n in (4, 8, 12))} from grams),
+covered as (select r, length(w) as chars, strlen(w) as bytes, {", ".join(f"bool_or(d{n}) over (partition by r order by pos rows between {n - 1} preceding and current row) as c{n}" for n in (4, 8, 12))} from twice),
+by_word as (select r, count(*) as n, sum(chars) as chars, sum(cast(c8 as int)) as repeats, sum(case when c4 then bytes else 0 end) / sum(bytes) as s4, sum(case when c12 then bytes else 0 end) / sum(bytes) as s12 from covered group by r),
+lines as (select r, l, count(*) as n from (select r, unnest(string_split(t, chr(10))) as l from docs) where regexp_matches(l, '[^\x20\x09-\x0D]') group by r, l),
+by_line as (select r, sum(n - 1) as dups, sum((n - 1) * strlen(l)) as bytes from lines group by r),
+joined as (
+  select doc_id, coalesce(n, 0) as n, coalesce(chars, 0) as chars, coalesce(repeats, 0) as repeats, coalesce(s4, 0) as s4, coalesce(s12, 0) as s12, coalesce(dups, 0) as dups,
+    coalesce(by_line.bytes, 0) / greatest(1, strlen(t)) as line_share, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as symbols
+  from docs left join by_word using (r) left join by_line using (r)),
+judged as (select *, n < 20 or 100 * repeats > 30 * n as base_failed from joined)
+select doc_id, cast(n as bigint) as n_words, cast(chars as bigint) as word_chars, cast(symbols as bigint) as n_symbols, cast(dups as bigint) as n_dup_lines, cast(repeats as bigint) as n_repeat_words, base_failed,
+  not base_failed and not (n >= {quality_rules.MIN_WORDS} and (line_share > {quality_rules.LINE_LIMIT} or symbols > {quality_rules.SYMBOL_LIMIT} * n or s4 > {quality_rules.NGRAM_LIMITS[4]} or s12 > {quality_rules.NGRAM_LIMITS[12]})) as kept
+from judged""",
 }
