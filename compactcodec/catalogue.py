@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from compactcodec.operators import rowschema, sessions, tabular
 from compactcodec.plans import decode_join_encode
 from compactcodec.plans import sql as S
 from compactcodec.scratch import scratch, spread
-from compactcodec.streaming import decode_session_stream, read_document_stream
+from compactcodec.streaming import decode_session_stream, read_document_stream, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -283,6 +284,13 @@ def rows_at_key(spark, sf_dir):
     return found.select("n_regionkey", "row_idx", v.alias("v")).select("n_regionkey", "row_idx", "v.n_nationkey", "v.n_name")
 
 
+@query("rows_with_schema", "select n_regionkey, n_nationkey as id, n_name as label from nation")
+def rows_with_schema(spark, sf_dir):
+    """Names of a schema in place of the header's."""
+    found = R.lateral(_two_tables(spark, sf_dir), "document", "ctext_rows", "nations", ["n_regionkey"], ["id", "label"])
+    return found.select("n_regionkey", F.from_json("row", "id int, label string").alias("v")).select("n_regionkey", "v.id", "v.label")
+
+
 @query("first_table_rows", "select n_regionkey, 0 as row_idx, '{\"a\":1}' as row from nation group by n_regionkey")
 def first_table_rows(spark, sf_dir):
     return R.lateral(_two_tables(spark, sf_dir), "document", "ctext_rows", None, ["n_regionkey"])
@@ -501,6 +509,19 @@ def stream_sessions(spark, sf_dir):
     return got.select("session", "seq", F.from_json("value", "role string").alias("v")).select("session", "seq", "v.role")
 
 
+@query("stream_windowed_counts", "select date_trunc('hour', ts) as start, event_type, cast(count(*) as bigint) as n from events group by 1, 2")
+def stream_windowed_counts(spark, sf_dir):
+    """Counts an hour and type of events that arrive as documents."""
+    path, name = scratch(spark, "events"), f"counts_{uuid.uuid4().hex}"
+    value = F.struct("event_id", F.col("ts").cast("string").alias("ts"), "event_type")
+    table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(value).alias("events")).select(C.to_ctext(F.struct("events")).alias("document")).write.parquet(path)
+    rows = C.from_ctext(F.col("document"), "events array<struct<event_id:long,ts:string,event_type:string>>")
+    stream = spark.readStream.schema("document string").parquet(path).select(F.explode(rows["events"]).alias("v")).select(F.col("v.ts").cast("timestamp").alias("ts"), "v.event_type")
+    counts = windowed_counts(stream, "ts", "10 minutes", "1 hour", "event_type")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("decode_join_aggregate_encode", """with totals as (select n_name, count(*) as n, sum(cast(c_acctbal as decimal(18,2))) as total from customer join nation on c_nationkey = n_nationkey group by n_name),
   lines as (select left(n_name, 1) as letter, n_name, '  ' || n_name || ',' || n || ',' || regexp_replace(regexp_replace(cast(total as varchar), '0+$', ''), '\\.$', '') as line from totals)
 select letter, 'nations[' || count(*) || ']{n_name,n,total}:' || chr(10) || string_agg(line, chr(10) order by n_name) as document from lines group by letter""")

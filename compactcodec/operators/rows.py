@@ -17,10 +17,10 @@ def _json(x) -> str:
 
 @udtf(returnType="row_idx int, row string")
 class CtextRows:
-    """Rows of the first table of a document, or of the table with a key, as JSON."""
+    """Rows of the first table of a document, or of the table with a key, as JSON; ``names`` replace those of its header."""
 
-    def eval(self, doc: str, key: str = None):  # noqa: RUF013
-        for i, r in enumerate(stream.rows(doc or "", key)):
+    def eval(self, doc: str, key: str = None, names: list = None):  # noqa: RUF013
+        for i, r in enumerate(stream.rows(doc or "", key, list(names) if names else None)):
             yield i, _json(r)
 
 
@@ -60,10 +60,10 @@ def register(spark: SparkSession) -> None:
         spark.udtf.register(name, f)
 
 
-def lateral(docs: DataFrame, column: str, function: str, key: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def lateral(docs: DataFrame, column: str, function: str, key: str | None = None, keep: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """``keep`` and the columns of a table function applied to each document."""
     register(docs.sparkSession)
-    args = [F.col(column).outer()] + ([F.lit(key)] if function != "ctext_lines" else [])
+    args = [F.col(column).outer()] + ([F.lit(key)] if function != "ctext_lines" else []) + ([F.array(*map(F.lit, names))] if names else [])
     return docs.lateralJoin(FUNCTIONS[function](*args)).select(*(keep or []), *_columns(function))
 
 
