@@ -417,7 +417,7 @@ def bin_typed_array_embeddings(spark, sf_dir):
     return back.select("vec_id", F.size("embedding").alias("n"), F.octet_length("message").alias("size"), (F.col("back") == F.col("embedding")).alias("same"))
 
 
-@query("bin_object_table_lineitem", "select l_orderkey, cast(count(*) as integer) as n, true as columnar, sum(l_partkey) as parts, sum(cast(l_tax as decimal(18,2))) as tax from lineitem group by l_orderkey")
+@query("bin_object_table_lineitem", "select l_orderkey, cast(count(*) as integer) as n, true as columnar, cast(sum(l_partkey) as bigint) as parts, cast(sum(cast(l_tax as decimal(18,2))) as decimal(18,2)) as tax from lineitem group by l_orderkey")
 def bin_object_table_lineitem(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_tax")).alias("rows"))
     made = rows.select("l_orderkey", C.to_cbin(F.col("rows")).alias("message"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -12,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL = 256 << 20
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they see that folder.
+
+    On a cluster that doesn't share it, send the package along (``--py-files``).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in (*known, root) if p])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -44,6 +56,7 @@ def spread(df: DataFrame) -> DataFrame:
     One file of one row group is one task however many cores wait.  The size bound keeps this from
     moving anything that counts.
     """
+    reach(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= SMALL and len(df.inputFiles()) < cores:
