@@ -221,11 +221,12 @@ def parse_token(token: str):
     token = trim(token)
     if not token:
         return ""
-    if token[0] == '"':
+    first = token[0]
+    if first == '"':
         return string_literal(token)
-    if token in _VALUES:
+    if first in "tfn" and token in _VALUES:
         return _VALUES[token]
-    if token[0] in "-0123456789" and is_numeric_literal(token):
+    if first in "-0123456789" and is_numeric_literal(token):
         return parse_number(token)
     return token
 

@@ -368,8 +368,12 @@ class Reader:
 
     def members(self, depth: int, out: dict | None = None) -> dict:
         out = {} if out is None else out
-        while (line := self.peek()) is not None and line.depth >= depth:
-            if line.depth > depth:
+        lines = self.lines
+        while self.at < len(lines):
+            line = lines[self.at]
+            if line.depth != depth:
+                if line.depth < depth:
+                    break
                 self.fail("deeper than its surroundings")
             self.at += 1
             key, value = self.member(line.content, depth)
@@ -379,13 +383,14 @@ class Reader:
         return out
 
     def member(self, content: str, depth: int):
-        header = parse_header(content)
-        if header:
-            if header.key is None:
-                self.fail("an array without a key")
-            return header.key, self.array(header, depth)
-        if self.strict and not content.startswith('"') and "[" in content.partition(":")[0] and ":" in content:
-            self.fail("a malformed array header")
+        if "[" in content:
+            header = parse_header(content)
+            if header:
+                if header.key is None:
+                    self.fail("an array without a key")
+                return header.key, self.array(header, depth)
+            if self.strict and content[0] != '"' and "[" in content.partition(":")[0] and ":" in content:
+                self.fail("a malformed array header")
         key, rest = split_key(content)
         rest = trim(rest)
         if rest == "[]":
