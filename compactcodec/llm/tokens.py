@@ -18,8 +18,9 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: words kept in each of two generations
-KEPT_WORDS = 350_000
-LONGEST_KEPT = 48
+KEPT_WORDS = 450_000
+#: longer words seldom come again
+LONGEST_KEPT = 12
 #: stands between new words where ids alone don't show where a word ends; words that hold it go alone
 MARK = "\x01"
 #: signs that end a word and are a token run of their own after a letter or digit
@@ -143,11 +144,15 @@ class WordEncoder:
                 first, *later = _BEFORE_WORD.split(text)
             else:  # a line feed and the word after it count as one word
                 first, *later = text.replace("\n", " \n").split(" ")
-            end = [b""]
+            end = []
             if later and not later[-1]:  # a space that ends the text
                 later.pop()
                 end = [self._ids(" ").tobytes()]
-            return b"".join(chain([self._ids(first).tobytes()], self._known(later), end))
+            if not first or first[0].isspace() or " " in first:
+                return b"".join(chain([self._ids(first).tobytes()], self._known(later), end))
+            ids = self._known(["\n" + first, *later])  # the first word has the ids that it has after a line feed
+            ids[0] = ids[0][4:]
+            return b"".join(chain(ids, end))
         return self._ids(text).tobytes()
 
 
