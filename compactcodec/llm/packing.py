@@ -20,6 +20,8 @@ from compactcodec.llm.common import materialise
 
 GROUP = 8192
 WEIGHTS = (1.0, 0.01, 0.01)
+#: words kept by a task's encoder in each of two generations, about 250 MB; the task holds little else
+KEPT_WORDS = 700_000
 
 
 def best_fit(items: np.ndarray, capacity: np.ndarray, weights=WEIGHTS, method: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def tokenise_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = tokens.encoder(path, KEPT_WORDS).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, rows, ids = [], [], []
             for r, text in enumerate(batch.column(1)):

@@ -35,7 +35,8 @@ _BEFORE_WORD = re.compile(r" (?=\S)")
 class WordEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,7 +113,7 @@ class WordEncoder:
                 made.update(zip(joined, self._split(joined), strict=True) if joined else ())
                 if len(joined) < len(new):
                     made.update(self._apart([w for w in new if w not in made]))
-            if len(known) > KEPT_WORDS:
+            if len(known) > self.kept:
                 self.known, self.older = {}, known
             for w in stopped:
                 made[w] = made[w[:-1]] + self.stops[w[-1]]
@@ -177,10 +178,10 @@ def _mode(about: dict) -> str:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
     """One encoder a Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, kept)
     return _ENCODERS[path]
 
 
