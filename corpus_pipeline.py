@@ -14,6 +14,8 @@ from compactcodec.llm.common import materialise, table
 from compactcodec.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: ids that may be broadcast, 8 MB
+BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; a repeated row stays once."""
+    """One document of each group of near copies, that with the smallest id; a repeated row stays once.
+
+    The ids to drop are sent to the texts if they are few; more of them meet the texts in a shuffle.
+    """
     found = materialise(near_dup.near_duplicates(docs), "components")
-    kept = docs.select(*COLUMNS).join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    dropped = materialise(found.where("not kept").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    kept = docs.select(*COLUMNS).join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
     return kept
