@@ -66,7 +66,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, min(n, first))] + [(s, most) for s in range(first, n, most)]
 
 
-def tokenise_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def tokenise_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, and ids (32-bit bytes) if asked for.
 
     A null or empty text is the end id alone.
@@ -74,7 +74,7 @@ def tokenise_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(path, KEPT_WORDS).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = tokens.encoder(path, kept_words).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, rows, ids = [], [], []
             for r, text in enumerate(batch.column(1)):
@@ -119,9 +119,12 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
     return dealt.groupBy("__group").applyInPandas(one, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, with_ids: bool = False, **options) -> DataFrame:
-    """Tokenise, cut and pack; the pieces are written once, so that no text is tokenised twice."""
-    return pack(materialise(tokenise_pieces(docs, path, most, end_id, with_ids=with_ids), "pieces"), most, **options)
+def pack_documents(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, with_ids: bool = False, kept_words: int = KEPT_WORDS, **options) -> DataFrame:
+    """Tokenise, cut and pack; the pieces are written once, so that no text is tokenised twice.
+
+    ``kept_words`` bounds the memory of the encoders, which stay with their Python workers.
+    """
+    return pack(materialise(tokenise_pieces(docs, path, most, end_id, with_ids=with_ids, kept_words=kept_words), "pieces"), most, **options)
 
 
 def assemble(packed: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from compactcodec.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: ids that may be broadcast, 8 MB
 BROADCAST_IDS = 1_000_000
+#: words that the encoders keep; they stay in workers that later runs of other stages share
+KEPT_WORDS = 200_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens."""
-    made = packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
+    made = packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), 2048, 0, kept_words=KEPT_WORDS)
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
