@@ -3,7 +3,8 @@
 Words are weighted by their document frequency in the whole corpus.  A distributed randomised SVD of
 the benchmark's TF-IDF passages gives the latent space; every window of every document is folded into
 it, and windows whose cosine with an item is high enough are compared with that item word by word.
-A document is contaminated if the common subsequence covers enough of an item, or a smaller part and
+As a space of few dimensions barely holds some items, so are places that share enough adjacent pairs
+of words with an item, whatever the number of items.  A document is contaminated if the common subsequence covers enough of an item, or a smaller part and
 the item's answer.
 
 Two passes read the corpus, one for frequencies and one for the search; neither moves a text.  The
@@ -12,6 +13,7 @@ benchmark is taken in blocks of ``BLOCK`` items, which bounds what a task holds
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,6 +31,8 @@ LEAST_COSINE = 0.22
 #: share of an item's words in the common subsequence: alone, or with the item's answer
 LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE = 0.6, 0.45, 0.9
 ANSWER_WORDS = 8
+#: words of a text whose shared pairs are counted at once
+SPAN = 2000
 #: items with fewer words say nothing
 LEAST_WORDS = 8
 
@@ -70,6 +74,66 @@ def judge(item: list[bytes], region: list[bytes]) -> float:
     return 0.0
 
 
+def least_pairs(n: int) -> int:
+    """How many adjacent pairs of an item of ``n`` words every leak keeps if words were only replaced or left out.
+
+    Each missing word costs two of the ``n - 1`` pairs; a leak by its answer keeps those of the answer.
+    """
+    missing = n - math.ceil(LCS_SHARE * n - 1e-9)
+    return max(1, min(n - 1 - 2 * missing, ANSWER_WORDS - 1))
+
+
+class Pairs:
+    """The adjacent pairs of words of all items, and the places where a text shares enough of them."""
+
+    def __init__(self, items: list[np.ndarray], n_words: int):
+        self.n_words, self.sizes = n_words, np.array([len(x) for x in items])
+        self.least = np.array([least_pairs(len(x)) for x in items])
+        pairs = [np.unique(x[:-1] * n_words + x[1:]) for x in items]
+        key, owner = np.concatenate(pairs), np.repeat(np.arange(len(items)), [len(x) for x in pairs])
+        order = np.argsort(key, kind="stable")
+        self.owners = owner[order]
+        self.keys, self.starts = np.unique(key[order], return_index=True)
+        self.starts = np.append(self.starts, [len(key), len(key)])
+        self.keys = np.append(self.keys, -1)  # the place of keys beyond the last
+
+    def places(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place of its first shared pair) by the numbers of a text's words, -1 for words of no item."""
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        key = ids[at] * self.n_words + ids[at + 1]
+        k = np.searchsorted(self.keys[:-1], key)
+        hit = self.keys[k] == key
+        at, k = at[hit], k[hit]
+        if not len(at):
+            return
+        over, start = 2 * int(self.sizes.max()), int(at[0])
+        while start <= at[-1]:
+            lo, hi = np.searchsorted(at, [start, start + SPAN + over])
+            yield from self._dense(at[lo:hi], k[lo:hi])
+            start += SPAN
+
+    def _dense(self, at: np.ndarray, k: np.ndarray) -> Iterator[tuple[int, int]]:
+        many = self.starts[k + 1] - self.starts[k]
+        ends = np.cumsum(many)
+        if not len(ends):
+            return
+        which = self.owners[np.arange(ends[-1]) + np.repeat(self.starts[k] - ends + many, many)]
+        enough = np.bincount(which, minlength=len(self.least)) >= self.least
+        if not enough.any():
+            return
+        some = np.flatnonzero(enough[which])
+        which, at = which[some], np.repeat(at, many)[some]
+        order = np.argsort(which, kind="stable")
+        which, at = which[order], at[order]
+        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        for item, seen in zip(which[first].tolist(), np.split(at, first[1:]), strict=True):
+            least, before = self.least[item], -STRIDE
+            for place in seen[: len(seen) - least + 1][seen[least - 1 :] - seen[: len(seen) - least + 1] <= 2 * self.sizes[item]].tolist():
+                if place >= before + STRIDE:  # the region of the one before holds it otherwise
+                    before = place
+                    yield item, place
+
+
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> tuple[np.ndarray, int]:
     """In how many documents each benchmark word occurs, and the number of documents; one number a word reaches the driver."""
     n = len(vocabulary)
@@ -147,6 +211,15 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
     counts = [Counter(words) for _, words in items]
+    pairs = Pairs([np.array([vocabulary[w] for w in words]) for _, words in items], len(vocabulary))
+
+    def compare(item: int, region: list[bytes], found: dict[int, float]) -> None:
+        item_id, item_words = items[item]
+        shared = counts[item].keys() & region
+        if sum(map(counts[item].__getitem__, shared)) < LCS_WITH_ANSWER * len(item_words):
+            return  # no subsequence is longer than what they share
+        if score := judge(item_words, [w for w in region if w in shared]):
+            found[item_id] = max(found.get(item_id, 0.0), score)
 
     def one(text: str | None) -> dict[int, float]:
         words = words_of(text)
@@ -177,12 +250,11 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
                 continue
             reach = max(WINDOW, len(item_words))
             start, end = at * STRIDE - reach, at * STRIDE + WINDOW + reach
-            region = words[max(0, start) : end]
-            shared = counts[item].keys() & region
-            if sum(map(counts[item].__getitem__, shared)) < LCS_WITH_ANSWER * len(item_words):
-                continue  # no subsequence is longer than what they share
-            if score := judge(item_words, [w for w in region if w in shared]):
-                found[item_id] = max(found.get(item_id, 0.0), score)
+            compare(item, words[max(0, start) : end], found)
+        for item, place in pairs.places(ids):
+            item_id, item_words = items[item]
+            if found.get(item_id, 0.0) < LCS_SHARE:
+                compare(item, words[max(0, place - len(item_words)) : place + 2 * len(item_words)], found)
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

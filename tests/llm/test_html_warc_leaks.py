@@ -147,3 +147,28 @@ def test_paraphrases_nulls_and_long_texts(spark):
     kept = decontaminate.clean(df, bench).select("doc_id").collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "4", "5", "None"]
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def zipf_words(rng, n):
+    """Words as uneven as those of texts: a few are everywhere, most are rare."""
+    return [f"w{int(20_000 ** rng.random())}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_a_copy_of_every_item_is_found(spark, n):
+    """A block of far more items than the space has dimensions loses no verbatim copy."""
+    rng = random.Random(n)
+    items = [(i, " ".join(zipf_words(rng, rng.randint(15, 59)))) for i in range(n)]
+    docs = [(i, " ".join([*zipf_words(rng, 60), t, *zipf_words(rng, 60)])) for i, t in items]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
+
+
+def test_places_of_shared_pairs():
+    """Every third word replaced, at the end of a text of several spans."""
+    item = decontaminate.np.arange(30)
+    pairs = decontaminate.Pairs([item, decontaminate.np.arange(40, 60)], 100)
+    text = decontaminate.np.full(7000, -1)
+    text[6900:6930] = decontaminate.np.where(item % 4 == 3, -1, item)
+    assert {i for i, place in pairs.places(text) if 6890 <= place <= 6930} == {0}
+    assert not list(pairs.places(text[:6900])) and not list(pairs.places(text[:1])) and not list(pairs.places(text[:0]))
