@@ -33,7 +33,7 @@ LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE = 0.6, 0.45, 0.9
 ANSWER_WORDS = 8
 #: words of a text whose shared pairs are counted at once
 SPAN = 2000
-#: items with fewer words say nothing
+#: items with fewer words are leaks only word by word
 LEAST_WORDS = 8
 
 _FOLD = bytes(ord(" ") if c < 128 and not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122) else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -201,7 +201,7 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
     return basis @ turn[:, np.argsort(-value)[:rank]]
 
 
-def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray, most_idf: float, space: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], short: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray, most_idf: float, space: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     weight = (idf[:, None] * space).astype(np.float32)
     square = np.append(idf, most_idf).astype(np.float32) ** 2
     rows = np.zeros((len(items), space.shape[1]), np.float32)
@@ -211,7 +211,15 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
     counts = [Counter(words) for _, words in items]
-    pairs = Pairs([np.array([vocabulary[w] for w in words]) for _, words in items], len(vocabulary))
+    pairs = Pairs([np.array([vocabulary[w] for w in words]) for _, words in items], len(vocabulary)) if items else None
+    by_first: dict[bytes, list[tuple[int, list[bytes]]]] = {}
+    for item_id, words in short:
+        by_first.setdefault(words[0], []).append((item_id, words))
+
+    def verbatim(words: list[bytes]) -> dict[int, float]:
+        if not (firsts := by_first.keys() & words):
+            return {}
+        return {item_id: 1.0 for i, w in enumerate(words) if w in firsts for item_id, item in by_first[w] if words[i : i + len(item)] == item}
 
     def compare(item: int, region: list[bytes], found: dict[int, float]) -> None:
         item_id, item_words = items[item]
@@ -223,8 +231,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
 
     def one(text: str | None) -> dict[int, float]:
         words = words_of(text)
-        n, found = len(words), {}
-        if n < LEAST_WORDS:
+        n, found = len(words), verbatim(words) if by_first else {}
+        if n < LEAST_WORDS or not items:
             return found
         ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, n)
         cuts = np.arange(0, n, STRIDE)
@@ -273,22 +281,24 @@ def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], vocabulary: d
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, score) of each document and benchmark item that it holds, in part or in other words.
 
-    Null and empty texts, and items with fewer than ``LEAST_WORDS`` words, match nothing.  Items that
-    repeat an id count as that item.  A row without an id appears with a null id.  Rows that repeat an
+    Null and empty texts, and items without words, match nothing.  An item with fewer than
+    ``LEAST_WORDS`` words matches a text with these words in a row.  Items that repeat an id count as
+    that item.  A row without an id appears with a null id.  Rows that repeat an
     id give a row each.  Empty tables give an empty table; other columns are not read.
     """
     spark, known = docs.sparkSession, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     blocks, out = max(1, -(-known.count() // block)), None
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = [(r["item_id"], w) for r in part.collect() if len(w := words_of(r["text"])) >= LEAST_WORDS]
-        if not items:
+        known_words = [(r["item_id"], w) for r in part.collect() if (w := words_of(r["text"]))]
+        items, short = [x for x in known_words if len(x[1]) >= LEAST_WORDS], [x for x in known_words if len(x[1]) < LEAST_WORDS]
+        if not known_words:
             continue
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
-        df, n_docs = document_frequencies(docs, vocabulary, text_col)
+        df, n_docs = document_frequencies(docs, vocabulary, text_col) if items else (np.zeros(0), 0)
         idf = np.log((1 + n_docs) / (1 + df)) + 0.01
-        space = randomised_svd(part.repartition(max(1, len(items) // 1000)), vocabulary, idf, min(rank, len(vocabulary)))
-        found = _search(docs, items, vocabulary, idf, float(np.log(1 + n_docs) + 0.01), space, id_col, text_col)
+        space = randomised_svd(part.repartition(max(1, len(items) // 1000)), vocabulary, idf, min(rank, len(vocabulary))) if items else np.zeros((0, 0))
+        found = _search(docs, items, short, vocabulary, idf, float(np.log(1 + n_docs) + 0.01), space, id_col, text_col)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double")
 

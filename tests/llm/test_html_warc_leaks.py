@@ -172,3 +172,20 @@ def test_places_of_shared_pairs():
     text[6900:6930] = decontaminate.np.where(item % 4 == 3, -1, item)
     assert {i for i, place in pairs.places(text) if 6890 <= place <= 6930} == {0}
     assert not list(pairs.places(text[:6900])) and not list(pairs.places(text[:1])) and not list(pairs.places(text[:0]))
+
+
+def test_copies_of_short_items(spark):
+    """Items of 8 to 14 words within longer texts, and shorter ones word by word."""
+    rng = random.Random(8)
+    items = [(i, " ".join(zipf_words(rng, rng.randint(8, 14)))) for i in range(1000)]
+    tiny = [(2000 + n, " ".join(f"q{k}" for k in range(n))) for n in range(2, 8)] + [(3000, "Lone!"), (3001, "..."), (3002, "")]
+    docs = [(i, " ".join([*zipf_words(rng, 60), t, *zipf_words(rng, 60)])) for i, t in items]
+    docs += [(5000, "a q0, Q1 q2 q3 b"), (5001, "lone"), (5002, "q0 x q1 q2 q3 q4 q5 q6 " + "z " * 99), (5003, "q0 q1 q2 q3 q4 q5 q6 " + "z " * 99), (5004, None), (5005, "")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + tiny, "item_id long, text string")
+    rows = decontaminate.find_leaks(docs, bench).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert {(i, i) for i, _ in items} <= found and len(rows) == len(found)
+    want = {(5000, 2002), (5000, 2003), (5000, 2004), (5001, 3000)} | {(5003, 2000 + n) for n in range(2, 8)}
+    assert {x for x in found if x[1] >= 2000} == want
+    only = decontaminate.find_leaks(docs, bench.where("item_id >= 2000"), block=3).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in only} == want
