@@ -498,6 +498,17 @@ def stream_documents(spark, sf_dir):
     return _drain(spark, read_document_stream(spark, f"{path}/*", "id long, total double"), "stream")
 
 
+@query("stream_documents_all", "select o_orderkey as id, o_totalprice as total from orders")
+def stream_documents_all(spark, sf_dir):
+    """All orders as documents that arrive as files, about 2,000 orders a file, decoded as a stream."""
+    path, orders = scratch(spark, "arriving"), table(spark, sf_dir, "orders")
+    files = F.pmod(F.xxhash64("o_orderkey"), F.lit(orders.count() // 2000 + 1))
+    rows = orders.groupBy(files.alias("file")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"))).alias("orders"))
+    rows.select("file", C.to_ctext(F.struct("orders")).alias("value")).write.partitionBy("file").text(path)
+    stream = read_document_stream(spark, f"{path}/*", "orders array<struct<id:long,total:double>>")
+    return _drain(spark, stream.select(F.explode("orders").alias("v")).select("v.*"), "stream")
+
+
 @query("stream_sessions", "select cast(conv_id as varchar) as session, turn as seq, role from conversations")
 def stream_sessions(spark, sf_dir):
     """Messages of sessions as a stream, with the dictionary as state."""

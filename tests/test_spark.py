@@ -212,3 +212,10 @@ def test_time_cells(spark):
     df = spark.sql("select timestamp_ntz'2024-01-15 10:30:00' a, timestamp_ntz'2024-01-15 10:30:00.000001' b, timestamp'2024-01-15 10:30:00.5Z' c, date'2024-01-15' d")
     assert df.select(columns.row_line(df.schema).alias("l")).first()["l"] == '"2024-01-15T10:30:00.000","2024-01-15T10:30:00.000001","2024-01-15T10:30:00.500Z","2024-01-15T00:00:00.000"'
     assert text.loads(df.select(C.to_ctext(F.struct("a", "b", "c", "d")).alias("t")).first()["t"]) == {"a": "2024-01-15T10:30:00.000", "b": "2024-01-15T10:30:00.000001", "c": "2024-01-15T10:30:00.500Z", "d": "2024-01-15T00:00:00.000"}
+
+
+def test_all_orders_are_streamed(spark, small):
+    """Orders beyond the first keys too, in several files."""
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    found = catalogue.QUERIES["stream_documents_all"](spark, small)
+    assert orders.where("o_orderkey > 50").count() and found.count() == orders.count() and not orders.join(found, orders["o_orderkey"] == found["id"], "left_anti").count()
