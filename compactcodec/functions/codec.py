@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -190,6 +192,19 @@ def _merge(kinds: list[T.DataType]) -> T.DataType:
     return out
 
 
-def infer_schema(docs: DataFrame, column: str, sample: int = 100, **options) -> T.DataType:
-    """The type that holds at most ``sample`` of the documents; they alone reach the driver."""
-    return _merge([_kind(text.loads(r[0], **options)) for r in docs.select(column).where(f"`{column}` is not null").limit(sample).collect()])
+def infer_schema(docs: DataFrame, column: str, sample: int | None = None, **options) -> T.DataType:
+    """The type that holds all the documents, or at most ``sample`` of them; one type a task reaches the driver.
+
+    Fields are in the order of the partitions that hold them first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: T.DataType = T.NullType()
+        for batch in batches:
+            for doc in batch.column(0):
+                out = _merge([out, _kind(text.loads(doc.as_py(), **options))])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([out.json()])], ["part", "kind"])
+
+    known = docs.select(column).where(f"`{column}` is not null")
+    rows = (known if sample is None else known.limit(sample)).mapInArrow(run, "part long, kind string").collect()
+    return _merge([T._parse_datatype_json_string(r["kind"]) for r in sorted(rows, key=lambda r: r["part"])])

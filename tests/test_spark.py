@@ -219,3 +219,12 @@ def test_all_orders_are_streamed(spark, small):
     orders = spark.read.parquet(f"{small}/orders.parquet")
     found = catalogue.QUERIES["stream_documents_all"](spark, small)
     assert orders.where("o_orderkey > 50").count() and found.count() == orders.count() and not orders.join(found, orders["o_orderkey"] == found["id"], "left_anti").count()
+
+
+def test_inference_reads_all_documents(spark):
+    """A field, a double and a value that is not null after the first hundred documents; order by partition."""
+    docs = [json.dumps({"a": 1, "n": None}) for _ in range(150)] + [json.dumps({"a": 2.5, "n": [1], "late": {"x": True}})]
+    df = spark.createDataFrame([(text.dumps(json.loads(d)),) for d in docs] + [(None,)], "d string")
+    assert C.infer_schema(df, "d").simpleString() == "struct<a:double,n:array<bigint>,late:struct<x:boolean>>"
+    assert C.infer_schema(df.limit(100), "d").simpleString() == C.infer_schema(df.coalesce(1), "d", sample=100).simpleString() == "struct<a:bigint,n:void>"
+    assert C.infer_schema(df.limit(0), "d") == T.NullType()
