@@ -431,8 +431,7 @@ def bin_object_table_lineitem(spark, sf_dir):
 @query("bin_derive_schema", "select * from (values ('o_custkey', 'int64'), ('o_orderkey', 'int64'), ('o_orderpriority', 'string'), ('o_orderstatus', 'string'), ('o_totalprice', 'float64')) as t(field, element)")
 def bin_derive_schema(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    first = [r.asDict() for r in df.limit(1).collect()]
-    return spark.createDataFrame(list(binary.derive_schema(first).fields), "field string, element string")
+    return spark.createDataFrame(list(C.derive_schema(df).fields), "field string, element string")
 
 
 @query("bin_string_table_frequency", "select o_orderpriority as entry, cast(count(*) as bigint) as n from orders group by 1 having count(*) >= 2")

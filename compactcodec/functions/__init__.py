@@ -1,6 +1,6 @@
 """Column functions: native expressions where the shape is known, Arrow-batched kernels where it is not."""
 
-from compactcodec.functions.codec import from_cbin, from_ctext, from_ctext_json, infer_schema, is_valid_ctext, to_cbin, to_ctext
+from compactcodec.functions.codec import derive_schema, from_cbin, from_ctext, from_ctext_json, infer_schema, is_valid_ctext, to_cbin, to_ctext
 from compactcodec.functions.columns import canonical_number, estimate_size, has_native_object, is_bare, line_type, number_text, object_text, parse_cell, parse_object, quote_key_text, quote_text, row_line, split_cells, trim_space, unescape_text, utf8_length
 
-__all__ = ["canonical_number", "estimate_size", "has_native_object", "object_text", "parse_object", "from_cbin", "from_ctext", "from_ctext_json", "infer_schema", "is_bare", "is_valid_ctext", "line_type", "number_text", "parse_cell", "quote_key_text", "quote_text", "row_line", "split_cells", "to_cbin", "to_ctext", "trim_space", "unescape_text", "utf8_length"]
+__all__ = ["canonical_number", "derive_schema", "estimate_size", "has_native_object", "object_text", "parse_object", "from_cbin", "from_ctext", "from_ctext_json", "infer_schema", "is_bare", "is_valid_ctext", "line_type", "number_text", "parse_cell", "quote_key_text", "quote_text", "row_line", "split_cells", "to_cbin", "to_ctext", "trim_space", "unescape_text", "utf8_length"]

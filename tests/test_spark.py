@@ -228,3 +228,12 @@ def test_inference_reads_all_documents(spark):
     assert C.infer_schema(df, "d").simpleString() == "struct<a:double,n:array<bigint>,late:struct<x:boolean>>"
     assert C.infer_schema(df.limit(100), "d").simpleString() == C.infer_schema(df.coalesce(1), "d", sample=100).simpleString() == "struct<a:bigint,n:void>"
     assert C.infer_schema(df.limit(0), "d") == T.NullType()
+
+
+def test_schema_of_a_table_with_nulls_first(spark):
+    """The type of a value that is not null, wherever it stands; as the kernel derives it from all rows."""
+    rows_ = [(None, None, i, None) for i in range(50)] + [(1.5, "x", None, None)]
+    df = spark.createDataFrame(rows_, "`a.b` double, s string, n int, z string").coalesce(1)
+    assert C.derive_schema(df) == binary.derive_schema([dict(zip(df.columns, r, strict=True)) for r in rows_])
+    assert dict(C.derive_schema(df).fields) == {"a.b": "float64", "s": "string", "n": "int64", "z": "null"}
+    assert C.derive_schema(df.limit(0)).fields == ()
