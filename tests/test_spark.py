@@ -237,3 +237,8 @@ def test_schema_of_a_table_with_nulls_first(spark):
     assert C.derive_schema(df) == binary.derive_schema([dict(zip(df.columns, r, strict=True)) for r in rows_])
     assert dict(C.derive_schema(df).fields) == {"a.b": "float64", "s": "string", "n": "int64", "z": "null"}
     assert C.derive_schema(df.limit(0)).fields == ()
+
+
+def test_all_nations_are_encoded(spark, small):
+    document = catalogue.QUERIES["encode_with_schema_nations"](spark, small).first()["document"]
+    assert len(text.loads(document)["nation"]) == spark.read.parquet(f"{small}/nation.parquet").count() > 2
