@@ -34,6 +34,21 @@ def test_page_shapes(page, text):
     assert html_extract.main_text(page, WEIGHTS) == text
 
 
+def test_fitted_weights_find_the_text_of_unmarked_pages(spark, small):
+    """Pages whose article tags are taken off give the same text by the weights alone."""
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect() if r["html"]]
+    weights = html_extract.fit_weights(pages)
+    for page in pages:
+        bare = re.sub(r"(?i)<(/?)(?:article|main)(?=[ >])", r"<\1div", page)
+        assert bare != page and html_extract.main_text(bare, weights) == html_extract.main_text(page, weights)
+
+
+def test_a_marked_teaser_decides_its_page():
+    """A known limit: only marked text counts on a page that marks some."""
+    page = "<body><article><p>Short teaser</p></article><div><p>" + "the long main text " * 30 + "</p></div></body>"
+    assert html_extract.main_text(page, WEIGHTS) == "Short teaser"
+
+
 def test_pages_of_a_frame(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "<article><p>" + "w " * 100_000, "k"), (2, "<p>a b c", "k")], "page_id long, html string, text string")
     rows = html_extract.extract(df).collect()
