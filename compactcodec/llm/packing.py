@@ -1,8 +1,13 @@
 """Best-fit packing under several capacities at once: tokens, documents, attention cost.
 
-Only sizes are packed, never texts.  Pieces are dealt into groups of about ``GROUP`` by a hash of
-their key, so a group is bounded however many pieces there are and whatever keys repeat; each group
-is packed by decreasing size, which leaves about one loosely filled sequence a group.
+Only sizes are packed, never texts.  Pieces are numbered when they are written and dealt into groups
+of about ``GROUP`` by a hash of that number, so a group is bounded however many pieces there are and
+whatever ids or sizes repeat; each group is packed by decreasing size, which leaves about one loosely
+filled sequence a group.
+
+Attention is paid in square tiles: a piece of n tokens costs the tiles on and below the diagonal, of
+``TILE`` tokens a side, begun tiles counted whole.  A sequence may cost no more than one that a single
+piece fills, and hold no more than ``MAX_DOCS`` pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ from compactcodec.llm import tokens
 from compactcodec.llm.common import materialise
 
 GROUP = 8192
-WEIGHTS = (1.0, 0.01, 0.01)
+WEIGHTS = (1.0, 0.1, 0.1)
+#: pieces a sequence, and tokens a side of a tile of attention
+MAX_DOCS, TILE = 48, 64
 #: words kept by a task's encoder in each of two generations, about 250 MB; the task holds little else
 KEPT_WORDS = 700_000
 
@@ -92,39 +99,50 @@ def tokenise_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int =
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None, max_attention: int | None = None, weights=WEIGHTS, method: str = "norm", group: int = GROUP) -> DataFrame:
+def attention_tiles(length, tile: int = TILE):
+    """Tiles of causal attention over ``length`` tokens."""
+    side = -(-length // tile)
+    return side * (side + 1) // 2
+
+
+def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int = MAX_DOCS, max_attention: int | None = None, weights=WEIGHTS, method: str = "norm", group: int = GROUP, tile: int = TILE) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset`` added.
 
-    A sequence holds at most ``max_tokens`` tokens, ``max_docs`` pieces and ``max_attention`` squared
-    tokens (by default as many as the tokens allow).  Offsets in a sequence leave no gap.  Pieces
-    longer than a sequence are an error.  Rows are packed as they are, repeated ones and null ids
-    included; an empty table gives an empty table.
+    A sequence holds at most ``max_tokens`` tokens, ``max_docs`` pieces and ``max_attention`` tiles of
+    attention, by default those of one piece of ``max_tokens``.  Offsets in a sequence leave no gap.
+    Pieces that exceed a sequence by themselves are an error.  Rows are packed as they are, repeated
+    ones and null ids included; an empty table gives an empty table.  Extra columns pass; columns of
+    the two names are replaced.
     """
-    max_docs, max_attention = max_docs or max_tokens, max_attention or max_tokens**2
-    n_groups = max(1, -(-pieces.count() // group))
-    if pieces.where((F.col("length") > max_tokens) | (F.col("length") ** 2 > max_attention) | (F.col("length") < 1)).limit(1).count():
-        raise ValueError("a piece exceeds a sequence")
+    max_attention = max_attention or attention_tiles(max_tokens, tile)
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    plain = pieces.select(*names)
-    dealt = plain.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(n_groups)))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["sequence_id long", "offset long"])
+    source = pieces.select(*names)
+    plain = materialise(source.select(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("number")), "pieces")
+    size, key = f"p{names.index('length')}", [f"p{names.index(c)}" for c in ("length", "doc_id", "piece")]
+    n_groups = max(1, -(-plain.count() // group))
+    side = F.ceil(F.col(size) / tile)
+    if plain.where((F.col(size) > max_tokens) | (side * (side + 1) / 2 > max_attention) | (F.col(size) < 1)).limit(1).count():
+        raise ValueError("a piece exceeds a sequence")
+    dealt = plain.withColumn("group", F.pmod(F.xxhash64("number"), F.lit(n_groups)))
+    schema = ", ".join([f"p{i} {source.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["sequence_id long", "offset long"])
     capacity = np.array([max_tokens, max_docs, max_attention], float)
 
-    def one(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        size = rows["length"].to_numpy(np.int64)
-        bins, offset = best_fit(np.stack([size, np.ones_like(size), size**2], axis=1), capacity, weights, method)
-        return rows.drop(columns="__group").assign(sequence_id=int(key[0]) * 2**32 + bins, offset=offset)
+    def one(key_: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, ascending=[False, True, True], kind="stable")
+        n = rows[size].to_numpy(np.int64)
+        bins, offset = best_fit(np.stack([n, np.ones_like(n), attention_tiles(n, tile)], axis=1), capacity, weights, method)
+        return rows.drop(columns=["group", "number"]).assign(sequence_id=int(key_[0]) * 2**32 + bins, offset=offset)
 
-    return dealt.groupBy("__group").applyInPandas(one, schema)
+    out = dealt.groupBy("group").applyInPandas(one, schema)
+    return out.select(*[F.col(f"p{i}").alias(c) for i, c in enumerate(names)], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, with_ids: bool = False, kept_words: int = KEPT_WORDS, **options) -> DataFrame:
-    """Tokenise, cut and pack; the pieces are written once, so that no text is tokenised twice.
+    """Tokenise, cut and pack; ``pack`` writes the pieces once, so that no text is tokenised twice.
 
     ``kept_words`` bounds the memory of the encoders, which stay with their Python workers.
     """
-    return pack(materialise(tokenise_pieces(docs, path, most, end_id, with_ids=with_ids, kept_words=kept_words), "pieces"), most, **options)
+    return pack(tokenise_pieces(docs, path, most, end_id, with_ids=with_ids, kept_words=kept_words), most, **options)
 
 
 def assemble(packed: DataFrame) -> DataFrame:

@@ -142,10 +142,13 @@ class ShardReader:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write all documents below ``path``; returns the manifest: file, first_id, n_docs, n_tokens, base.
 
-    ``base`` counts the ids of all shards before.  Null and empty texts are the end id alone.  Rows
-    that repeat an id follow each other by text; null ids come first.  Other columns are not read.
+    ``base`` counts the ids of all shards before.  Null and empty texts are the end id alone.  Ids are
+    integers.  Rows that repeat an id follow each other by a hash of their text, then by the text; null
+    ids come first.  Shards are ranges of id and hash, so an id, or its absence, that many rows share
+    is spread; only rows that are wholly alike stay together.  Other columns are not read.
     """
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ordered = plain.withColumn("part", F.xxhash64("text")).repartitionByRange("id", "part").sortWithinPartitions("id", "part", "text").select("id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(tokenizer)
@@ -153,13 +156,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         end = np.array([end_id], "<u4").tobytes()
         fs, folder = _open(path)
         writer = sink = name = None
-        first, n_tokens = None, 0
+        first, part, n_tokens = None, None, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, hashed in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 doc_id = doc_id.as_py()
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
-                    name, first = f"{uuid.uuid4().hex}.ids", doc_id
+                    name, first, part = f"{uuid.uuid4().hex}.ids", doc_id, hashed.as_py()
                     sink = fs.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(sink, width, frame_bytes)
                 ids = np.frombuffer(coder.encode(text.as_py()) + end, "<u4")
@@ -168,12 +171,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([first], pa.int64()), pa.array([len(writer.ids)], pa.int64()), pa.array([n_tokens], pa.int64())], ["file", "first_id", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([first], pa.int64()), pa.array([part], pa.int64()), pa.array([len(writer.ids)], pa.int64()), pa.array([n_tokens], pa.int64())], ["file", "first_id", "first_part", "n_docs", "n_tokens"])
 
-    shards = materialise(ordered.mapInArrow(run, "file string, first_id long, n_docs long, n_tokens long"), "manifest")
+    shards = materialise(ordered.mapInArrow(run, "file string, first_id long, first_part long, n_docs long, n_tokens long"), "manifest")
     # one row a shard
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_part").rowsBetween(Window.unboundedPreceding, -1)
+    return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).drop("first_part")
 
 
 def read_token_files(manifest: DataFrame, wanted: list[int] | None = None, with_ids: bool = False) -> DataFrame:

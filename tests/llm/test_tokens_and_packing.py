@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compactcodec.llm import packing, token_file
@@ -57,6 +58,49 @@ def test_best_fit_respects_every_capacity(method):
         assert offset[at].tolist() == [0, *np.cumsum(items[at, 0])[:-1].tolist()]
 
 
+def bins_of(sizes, docs=True, attention=True):
+    n = np.array(sizes)
+    items = np.stack([n, np.ones_like(n), packing.attention_tiles(n)], axis=1)
+    capacity = np.array([2048, packing.MAX_DOCS if docs else 10**9, packing.attention_tiles(2048) if attention else 10**9])
+    return packing.best_fit(items, capacity)[0].max() + 1
+
+
+def test_each_capacity_changes_the_query_s_bins():
+    """With the capacities of the query: many short pieces are bound by their number, a nearly full one by its attention."""
+    assert bins_of([10] * 100) == 3 and bins_of([10] * 100, docs=False) == 1
+    assert bins_of([2000, 48]) == 2 and bins_of([2000, 48], attention=False) == 1
+    assert bins_of([1500, 600]) == 2 and bins_of([1984, 64]) == 1
+
+
+def test_alike_pieces_are_spread_over_groups(spark):
+    df = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "0 as piece", "cast(7 as long) as length", "'x' as number", "1 as `group`")
+    rows = packing.pack(df).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("g")).count().collect()
+    assert len(rows) >= 4 and sum(r["count"] for r in rows) == 40_000 and max(r["count"] for r in rows) < 1.1 * packing.GROUP
+    assert packing.pack(df).columns == ["doc_id", "piece", "length", "number", "group", "sequence_id", "offset"]
+
+
+def test_ids_that_many_rows_share_are_spread(spark, tmp_path):
+    """Rows without an id, a third of all, lie in several shards."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('text ', id) as text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together
+    try:
+        made = token_file.write_token_files(df, f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert made.where("first_id is null").count() >= 2
+    every = token_file.read_token_files(made).orderBy("start").collect()
+    assert [r["start"] for r in every] == [0, *np.cumsum([r["n_tokens"] for r in every])[:-1].tolist()]
+    assert [r["doc_id"] for r in every] == [None] * 1000 + [i for i in range(3000) if i % 3]
+
+
+def test_a_very_long_text_in_a_token_file(spark, tmp_path):
+    text = " ".join(f"w{i % 977}" for i in range(100_000))
+    df = spark.createDataFrame([(1, "a"), (2, text), (3, "b")], "doc_id long, text string")
+    made = token_file.write_token_files(df, f"file://{tmp_path}/l", public_tokenizers.path("word_bpe_49k.json"), 2)
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_file.read_token_files(made, with_ids=True).collect()}
+    assert ids == {i: [*PLAIN["word_bpe_49k.json"](t), 2] for i, t in ((1, "a"), (2, text), (3, "b"))}
+
+
 def check_packing(rows, texts, most=2048):
     encode = PLAIN["byte_bpe_50k.json"]
     by_doc, by_seq = {}, {}
@@ -87,6 +131,12 @@ def test_packing_query(spark, small):
     assert used <= 1.02 * least + 1
 
 
+def test_sequences_of_the_query_are_as_few_as_can_be(spark):
+    """On whole documents the number stays within a thousandth of the bound that no packing can beat."""
+    rows = QUERIES["op2_packing"](spark, "/root/testdata/sf0.1").agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("t")).first()
+    assert rows["n"] <= 1.001 * (rows["t"] / 2048) + 1
+
+
 def test_packing_odd_rows_and_assembly(spark):
     texts = {1: None, 2: "", 3: "a b " * 3000, 4: "tie", 5: "tie"}
     df = spark.createDataFrame([(i, t, 7) for i, t in texts.items()], "doc_id long, text string, offset int")
