@@ -1,5 +1,11 @@
 """Quality rules by repetition coverage: characters inside duplicated n-grams and lines.
 
+A text is rejected if too large a share of its characters lies in repeated n-grams of one of several
+lengths, or in lines that repeat an earlier one.  Symbols are counted, but have no part in the
+verdict.  The limits stand above the largest shares among 3,302 documents labelled good (0.276 for
+four words, 0.276 for eight, 0.154 for twelve, 0.136 for lines) and far below those of texts that
+repeat words (0.8 to 1).
+
 Each text is read whole, once, as bytes.  Words become numbers, n-grams become 64-bit rolling hashes
 of those numbers in numpy, and a sort finds the n-grams that occur twice.  There is no shuffle.
 """
@@ -17,11 +23,9 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 BASE_WINDOW = 8
 #: n-gram length -> largest share of a text's word characters that may lie in repeated n-grams
-NGRAM_LIMITS = {4: 0.6, 12: 0.3}
-#: largest share of a text's characters that may lie in repeated lines
-LINE_LIMIT = 0.3
-#: most symbols a word
-SYMBOL_LIMIT = 0.25
+NGRAM_LIMITS = {4: 0.35, 8: 0.3, 12: 0.2}
+#: largest share of a text's characters that may lie in lines that repeat an earlier one
+LINE_LIMIT = 0.17
 #: shares below these sizes say nothing
 MIN_WORDS = 20
 
@@ -65,7 +69,12 @@ def repeated_words(codes: np.ndarray, lengths: list[int]) -> dict[int, np.ndarra
     return {n: out.get(n, np.zeros(n_words, bool)) for n in lengths}
 
 
-def measure(text: str | None, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT) -> dict:
+def _chars(raw: bytes) -> int:
+    """Code points of UTF-8 bytes."""
+    return len(raw) if raw.isascii() else len(raw.decode("utf-8", "surrogatepass"))
+
+
+def measure(text: str | None, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> dict:
     """The measures and the verdict for one text; null counts as an empty text."""
     limits = NGRAM_LIMITS if ngram_limits is None else ngram_limits
     text = text or ""
@@ -75,13 +84,13 @@ def measure(text: str | None, ngram_limits: dict[int, float] | None = None, line
     word_chars = len(text) - sum(map(text.count, WHITE))
     n_symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-    n_dup_lines, dup_line_bytes = 0, 0
+    n_dup_lines, dup_line_chars = 0, 0
     if len(lines) > 1 and (distinct := len(set(lines))) < len(lines):
         n_dup_lines = len(lines) - distinct
         seen: set[bytes] = set()
         for x in lines:
             if x in seen:
-                dup_line_bytes += len(x)
+                dup_line_chars += _chars(x)
             seen.add(x)
     numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
     shares, n_repeat = dict.fromkeys(limits, 0.0), 0
@@ -91,16 +100,16 @@ def measure(text: str | None, ngram_limits: dict[int, float] | None = None, line
             codes = _mix((ids + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
             masks = repeated_words(codes, sorted({BASE_WINDOW, *limits}))
         n_repeat = int(masks[BASE_WINDOW].sum())
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        total = int(sizes.sum())
-        shares = {k: float(sizes[masks[k]].sum()) / total for k in limits}
+        if any(masks[k].any() for k in limits):
+            sizes = np.fromiter(map(_chars, numbers), np.int64, len(numbers))[ids.astype(np.int64)]
+            shares = {k: float(sizes[masks[k]].sum()) / word_chars for k in limits}
     base_failed = n < 20 or 100 * n_repeat > 30 * n
-    line_share = dup_line_bytes / max(1, len(raw))
-    bad = n >= MIN_WORDS and (line_share > line_limit or n_symbols > symbol_limit * n or any(shares[k] > v for k, v in limits.items()))
+    line_share = dup_line_chars / max(1, len(text))
+    bad = n >= MIN_WORDS and (line_share > line_limit or any(shares[k] > v for k, v in limits.items()))
     return {"n_words": n, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat, "base_failed": base_failed, "dup_line_share": line_share, "dup_ngram_share": shares, "kept": not base_failed and not bad}
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, symbol_limit: float = SYMBOL_LIMIT, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all of them by default) and the measures and verdict of each row.
 
     A null or empty text has no words and is not kept.  Repeated rows are measured each for itself,
@@ -115,7 +124,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", ngram_limits: dict[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.map_(pa.int32(), pa.float64()), pa.bool_()]
         for batch in batches:
-            rows = [measure(x.as_py(), ngram_limits, line_limit, symbol_limit) for x in batch.column("__text")]
+            rows = [measure(x.as_py(), ngram_limits, line_limit) for x in batch.column("__text")]
             made = [pa.array([list(r[f.name].items()) if f.name == "dup_ngram_share" else r[f.name] for r in rows], kind) for f, kind in zip(FIELDS, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [f.name for f in schema])
 

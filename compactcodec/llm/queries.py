@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from compactcodec.llm import chat_format, decontaminate, html_extract, line_dedup, near_dup, packing, pii, quality_rules, token_file, warc
-from compactcodec.llm.common import table
+from compactcodec.llm.common import materialise, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,36 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: code points of a streamed delta, and numbers kept free for the events of a turn
+DELTA_CHARS, EVENTS_A_TURN = 256, 1 << 20
+
+
+def chat_events(rows: DataFrame) -> DataFrame:
+    """The event log that ends in these turns (conv_id, turn, role, text).
+
+    An assistant's text is streamed in deltas; before that, some turns stream a draft that a
+    regeneration discards.  Some users' texts are first written wrong and then edited.  A rule on
+    conv_id and turn decides which.  Each row is a message of its own, rows of one turn too.
+    """
+    text = F.coalesce("text", F.lit(""))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    event = lambda name, said: F.struct(F.lit(name).alias("event"), said.alias("said"))
+    empty = F.lit("")
+    streamed = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0)), lambda x: event(chat_format.DELTA, x))
+    draft = F.array(event(chat_format.DELTA, F.lit("a draft ")), event(chat_format.DELTA, F.left(text, F.lit(40))), event(chat_format.REGENERATE, empty))
+    assistant = F.concat(F.array(event(chat_format.MESSAGE, empty)), F.when(kind == 0, draft).otherwise(F.slice(draft, 1, 0)), streamed)
+    user = F.when(kind == 0, F.array(event(chat_format.MESSAGE, F.concat(F.lit("wrong: "), text)), event(chat_format.DELTA, F.lit("?")), event(chat_format.EDIT, text))).otherwise(F.array(event(chat_format.MESSAGE, text)))
+    numbered = rows.withColumn("message_id", F.monotonically_increasing_id())
+    log = numbered.select("conv_id", "turn", "message_id", "role", F.posexplode(F.when(F.col("role") == chat_format.TRAINED, assistant).otherwise(user)).alias("k", "e"))
+    seq = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 41))) * EVENTS_A_TURN + F.col("k")
+    return log.select("conv_id", seq.alias("seq"), "e.event", "message_id", F.when(F.col("k") == 0, F.col("role")).alias("role"), F.col("e.said").alias("text"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = "\\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], rows.schema)
-    log = rows.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), F.lit(chat_format.MESSAGE).alias("event"), F.col("turn").alias("message_id"), "role", "text")
-    made = chat_format.format_chats(log)
+    made = chat_format.format_chats(chat_events(rows.unionByName(probe)))
     turns = chat_format.read_back(F.col("formatted"))
     loss = made.withColumn("turns", turns).withColumn("loss", chat_format.masked_text(F.col("formatted"), F.col("loss_mask")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -42,7 +66,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a full response, followed by a revisit with its entity tag and one with another; a third revisit is no later than the response."""
+    """Every page as a full response, followed by a revisit with its entity tag and one with another; a third revisit is no later than the response.
+
+    The captures are written as WARC archives and read from these.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     tag, at = F.md5("html"), F.col("page_id") * 10
     text = lambda c: c.cast("string")
@@ -54,7 +81,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct((F.col("page_id") * 4 + number).alias("record_id"), "url", time.alias("at"), F.lit(kind).alias("kind"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), headers.alias("headers"), body.alias("body"))
 
     log = F.array(capture(0, "response", 5, tag, "a"), capture(1, "revisit", 6, F.concat(F.lit("W/"), tag), "b"), capture(2, "revisit", 7, F.md5("url"), "b"), capture(3, "revisit", 5, tag, "b"))
-    made = warc.resolve_revisits(pages.select(F.explode(log).alias("c")).select("c.*"), span=10_000)
+    archives = warc.write_archives(pages.select(F.explode(log).alias("c")).select("c.*"), compress=False)
+    captures = materialise(warc.captures_of(warc.read_archives(archives, "archive")), "captures")
+    made = warc.resolve_revisits(captures.withColumn("record_id", F.col("record_id").cast("long")), span=10_000)
     lines = F.array_join(F.transform(F.map_entries("headers"), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")
     return made.select("record_id", "status", "resolved_id", lines.alias("headers"), F.char_length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("body_sha256"))
 
@@ -82,7 +111,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     of = lambda *kinds: F.filter("pii", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.span_text(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(of(*pii.BASE)), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_near_dup, op4_chat_formatting, op5_warc, op6_html_extraction, op7_quality_rules, op8_decontaminate, op9_token_file, op10_pii)}
@@ -149,16 +178,16 @@ with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t
 words as (select r, unnest(w) as w, generate_subscripts(w, 1) as pos from (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from docs)),
 grams as (select r, w, pos, {", ".join(f"case when lead(w, {n - 1}) over of is not null then " + " || ' ' || ".join(f"lead(w, {k}) over of" for k in range(n)) + f" end as g{n}" for n in (4, 8, 12))} from words window of as (partition by r order by pos)),
 twice as (select r, w, pos, {", ".join(f"g{n} is not null and count(*) over (partition by r, g{n}) > 1 as d{n}" for n in (4, 8, 12))} from grams),
-covered as (select r, length(w) as chars, strlen(w) as bytes, {", ".join(f"bool_or(d{n}) over (partition by r order by pos rows between {n - 1} preceding and current row) as c{n}" for n in (4, 8, 12))} from twice),
-by_word as (select r, count(*) as n, sum(chars) as chars, sum(cast(c8 as int)) as repeats, sum(case when c4 then bytes else 0 end) / sum(bytes) as s4, sum(case when c12 then bytes else 0 end) / sum(bytes) as s12 from covered group by r),
+covered as (select r, length(w) as chars, {", ".join(f"bool_or(d{n}) over (partition by r order by pos rows between {n - 1} preceding and current row) as c{n}" for n in (4, 8, 12))} from twice),
+by_word as (select r, count(*) as n, sum(chars) as chars, sum(cast(c8 as int)) as repeats, {", ".join(f"sum(case when c{n} then chars else 0 end) / sum(chars) as s{n}" for n in (4, 8, 12))} from covered group by r),
 lines as (select r, l, count(*) as n from (select r, unnest(string_split(t, chr(10))) as l from docs) where regexp_matches(l, '[^\x20\x09-\x0D]') group by r, l),
-by_line as (select r, sum(n - 1) as dups, sum((n - 1) * strlen(l)) as bytes from lines group by r),
+by_line as (select r, sum(n - 1) as dups, sum((n - 1) * length(l)) as chars from lines group by r),
 joined as (
-  select doc_id, coalesce(n, 0) as n, coalesce(chars, 0) as chars, coalesce(repeats, 0) as repeats, coalesce(s4, 0) as s4, coalesce(s12, 0) as s12, coalesce(dups, 0) as dups,
-    coalesce(by_line.bytes, 0) / greatest(1, strlen(t)) as line_share, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as symbols
+  select doc_id, coalesce(n, 0) as n, coalesce(by_word.chars, 0) as chars, coalesce(repeats, 0) as repeats, coalesce(s4, 0) as s4, coalesce(s8, 0) as s8, coalesce(s12, 0) as s12, coalesce(dups, 0) as dups,
+    coalesce(by_line.chars, 0) / greatest(1, length(t)) as line_share, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as symbols
   from docs left join by_word using (r) left join by_line using (r)),
 judged as (select *, n < 20 or 100 * repeats > 30 * n as base_failed from joined)
 select doc_id, cast(n as bigint) as n_words, cast(chars as bigint) as word_chars, cast(symbols as bigint) as n_symbols, cast(dups as bigint) as n_dup_lines, cast(repeats as bigint) as n_repeat_words, base_failed,
-  not base_failed and not (n >= {quality_rules.MIN_WORDS} and (line_share > {quality_rules.LINE_LIMIT} or symbols > {quality_rules.SYMBOL_LIMIT} * n or s4 > {quality_rules.NGRAM_LIMITS[4]} or s12 > {quality_rules.NGRAM_LIMITS[12]})) as kept
+  not base_failed and not (n >= {quality_rules.MIN_WORDS} and (line_share > {quality_rules.LINE_LIMIT} or {" or ".join(f"s{n} > {limit}" for n, limit in quality_rules.NGRAM_LIMITS.items())})) as kept
 from judged""",
 }

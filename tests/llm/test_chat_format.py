@@ -45,6 +45,28 @@ def test_many_turns_and_long_texts(spark):
     assert n == 400 and len(loss) == sum(len(t) for r, t in turns if r == "assistant")
 
 
+def test_query_folds_a_log(spark, small):
+    """The log of the query has deltas, drafts that are discarded and edits; without them the fold gives other texts."""
+    from compactcodec.llm.queries import DELTA_CHARS, chat_events
+
+    rows = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    long = spark.createDataFrame([(-1, 0, "assistant", "é🎉" * 2000), (-1, 0, "user", "tie"), (-1, 0, "user", "tie"), (-1, None, "assistant", "x" * 3 * DELTA_CHARS), (-2, 1, "assistant", None)], rows.schema)
+    rows = rows.union(long)
+    log = chat_events(rows).cache()
+    kinds = {r["event"] for r in log.select("event").distinct().collect()}
+    assert kinds == {c.MESSAGE, c.DELTA, c.EDIT, c.REGENERATE}
+    said = lambda df: sorted((r["conv_id"], r["role"], r["text"]) for r in df.collect())
+    want = sorted((r["conv_id"], r["role"], r["text"] or "") for r in rows.collect())
+    assert said(c.fold_events(log)) == want
+    for kind in (c.DELTA, c.EDIT, c.REGENERATE):
+        assert said(c.fold_events(log.where(F.col("event") != kind))) != want, kind
+
+
+def test_clashing_columns(spark):
+    log = spark.createDataFrame([(1, 0, "message", 0, "user", "hi")], SCHEMA).selectExpr("*", "'x' as formatted", "'y' as opened", "7 as rank", "'z' as e", "1 as at")
+    assert c.format_chats(log).first()["formatted"] == "### user\nhi</turn>\n"
+
+
 def test_query_on_the_probe(spark, small):
     from compactcodec.llm.queries import QUERIES
 

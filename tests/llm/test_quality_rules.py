@@ -48,7 +48,23 @@ def test_verdicts():
     clean = " ".join(f"word{i}" for i in range(200))
     assert q.measure(clean)["kept"]
     assert not q.measure("\n".join(["the same line of words again"] * 40))["kept"]
-    assert not q.measure(" | ".join(f"w{i}" for i in range(100)))["kept"]
+    symbols = q.measure(" | ".join(f"w{i}" for i in range(100)))
+    assert symbols["kept"] and symbols["n_symbols"] == 99  # counted, no part of the verdict
+    runs = " ".join(" ".join([f"w{i}"] * 5) for i in range(10))
+    assert not q.measure(runs)["base_failed"] and not q.measure(runs)["kept"]  # four words alike, never eight in a row
+    assert q.measure(runs, {12: 0.2})["kept"]
+    line = "one line of six words here"
+    text = "\n".join(f"{line}\n{' '.join(f'v{i}.{k}' for k in range(4))}" for i in range(10))
+    assert not q.measure(text, {})["kept"] and q.measure(text, {}, 1.0)["kept"] == (not q.measure(text)["base_failed"])
+
+
+def test_shares_are_of_characters():
+    """Two-byte letters count once, as others do."""
+    m = q.measure("aa " * 4 + "éé " * 4 + " ".join(f"w{i:02}" for i in range(40)), {4: 1.0})
+    assert m["dup_ngram_share"][4] == 0.0
+    m = q.measure("é é é é é " + "b c d f g h i j k l m n o p q", {4: 1.0})
+    assert m["dup_ngram_share"][4] == 5 / 20
+    assert q.measure("éé\n" * 2 + "bb", {})["dup_line_share"] == 2 / 8
     assert not q.measure(None)["kept"]
     long = " ".join(f"w{i}" for i in range(60_000))
     assert q.measure(long)["n_words"] == 60_000 and q.measure(long)["kept"]
