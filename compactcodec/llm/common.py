@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,23 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII takes the quick built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def write_blob(path: str, value) -> None:
+    """A bounded value as a file of the shared folder, for tasks to read when they need it."""
+    system, name = _open(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(name) as sink:
+        sink.write(pickle.dumps(value))
+
+
+def read_blob(path: str):
+    system, name = _open(path)
+    with system.open_input_stream(name) as source:
+        return pickle.loads(source.read())

@@ -2,13 +2,17 @@
 
 Words are weighted by their document frequency in the whole corpus.  A distributed randomised SVD of
 the benchmark's TF-IDF passages gives the latent space; every window of every document is folded into
-it, and windows whose cosine with an item is high enough are compared with that item word by word.
-As a space of few dimensions barely holds some items, so are places that share enough adjacent pairs
-of words with an item, whatever the number of items.  A document is contaminated if the common subsequence covers enough of an item, or a smaller part and
-the item's answer.
+it, and windows whose cosine with a passage is high enough are compared with it word by word.  As a
+space of few dimensions barely holds some passages, so are places that share enough adjacent pairs of
+words with one, whatever their number.  A document is contaminated if the common subsequence covers
+enough of a passage, or a smaller part and the item's answer.
 
-Two passes read the corpus, one for frequencies and one for the search; neither moves a text.  The
-benchmark is taken in blocks of ``BLOCK`` items, which bounds what a task holds whatever its size.
+An item of more than ``PASSAGE`` words is several passages, each beginning in the middle of the one
+before, so a document that holds a paragraph of it holds three quarters of some passage.
+
+The benchmark is taken in blocks of bounded size, which lie in the shared folder.  Two passes read the
+corpus, however many blocks there are: one for frequencies and one for the search; each task goes
+through the blocks, one at a time, and neither pass moves a text.
 """
 
 from __future__ import annotations
@@ -24,11 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4000
+from compactcodec.llm.common import materialise, read_blob, scratch, write_blob
+
+#: passages and words of a block
+BLOCK, BLOCK_WORDS = 4000, 160_000
+#: words of a passage, and the step to the next one
+PASSAGE, PASSAGE_STEP = 64, 32
 RANK, OVERSAMPLE, POWER = 128, 16, 2
 WINDOW, STRIDE = 40, 10
 LEAST_COSINE = 0.22
-#: share of an item's words in the common subsequence: alone, or with the item's answer
+#: windows that are held at once
+SLICE = 2048
+#: share of a passage's words in the common subsequence: alone, or with the item's answer
 LCS_SHARE, LCS_WITH_ANSWER, ANSWER_SHARE = 0.6, 0.45, 0.9
 ANSWER_WORDS = 8
 #: words of a text whose shared pairs are counted at once
@@ -57,38 +68,41 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def answer_of(item: list[bytes]) -> list[bytes]:
-    """The end of an item, which holds its answer."""
-    return item[-ANSWER_WORDS:]
+def passages_of(item: list[bytes], answer: list[bytes] | None) -> list[tuple[list[bytes], list[bytes] | None]]:
+    """The passages of an item, each with the answer that may confirm it.
+
+    Where the benchmark has no answers, the last words of an item stand for its answer; they confirm
+    only the passage that holds them.
+    """
+    last = max(0, len(item) - PASSAGE)
+    starts = [*range(0, last, PASSAGE_STEP), last]
+    return [(item[s : s + PASSAGE], answer or (item[-ANSWER_WORDS:] if s == last else None)) for s in starts]
 
 
-def judge(item: list[bytes], region: list[bytes]) -> float:
-    """Share of the item's words in common with the region, in order; 0 if that is no leak."""
+def judge(item: list[bytes], region: list[bytes], answer: list[bytes] | None) -> float:
+    """Share of the passage's words in common with the region, in order; 0 if that is no leak."""
     share = lcs(item, region) / len(item)
-    if share >= LCS_SHARE:
+    if share >= LCS_SHARE or share >= LCS_WITH_ANSWER and answer and lcs(answer, region) >= ANSWER_SHARE * len(answer):
         return share
-    if share >= LCS_WITH_ANSWER:
-        answer = answer_of(item)
-        if lcs(answer, region) >= ANSWER_SHARE * len(answer):
-            return share
     return 0.0
 
 
-def least_pairs(n: int) -> int:
-    """How many adjacent pairs of an item of ``n`` words every leak keeps if words were only replaced or left out.
+def least_pairs(n: int, ends: bool) -> int:
+    """How many adjacent pairs of a passage of ``n`` words a leak keeps if words were only replaced or left out.
 
-    Each missing word costs two of the ``n - 1`` pairs; a leak by its answer keeps those of the answer.
+    Each missing word costs two of the ``n - 1`` pairs; where the passage ends with its answer, a leak
+    by that keeps those of the answer.
     """
     missing = n - math.ceil(LCS_SHARE * n - 1e-9)
-    return max(1, min(n - 1 - 2 * missing, ANSWER_WORDS - 1))
+    return max(1, min(n - 1 - 2 * missing, ANSWER_WORDS - 1 if ends else n))
 
 
 class Pairs:
-    """The adjacent pairs of words of all items, and the places where a text shares enough of them."""
+    """The adjacent pairs of words of all passages, and the places where a text shares enough of them."""
 
-    def __init__(self, items: list[np.ndarray], n_words: int):
+    def __init__(self, items: list[np.ndarray], n_words: int, ends: list[bool]):
         self.n_words, self.sizes = n_words, np.array([len(x) for x in items])
-        self.least = np.array([least_pairs(len(x)) for x in items])
+        self.least = np.array([least_pairs(len(x), e) for x, e in zip(items, ends, strict=True)])
         pairs = [np.unique(x[:-1] * n_words + x[1:]) for x in items]
         key, owner = np.concatenate(pairs), np.repeat(np.arange(len(items)), [len(x) for x in pairs])
         order = np.argsort(key, kind="stable")
@@ -134,25 +148,36 @@ class Pairs:
                     yield item, place
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> tuple[np.ndarray, int]:
-    """In how many documents each benchmark word occurs, and the number of documents; one number a word reaches the driver."""
-    n = len(vocabulary)
+def document_frequencies(docs: DataFrame, vocabularies: list[str], text_col: str) -> DataFrame:
+    """(block, word, n): in how many documents each word of each block's vocabulary occurs; word -1 counts all documents.
+
+    ``vocabularies`` are files of the shared folder, one a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, known = np.zeros(n + 1, np.int64), frozenset(vocabulary)
         for batch in batches:
-            for text in batch.column(0):
-                df[-1] += 1
-                if hit := known.intersection(words_of(text.as_py())):
-                    df[[vocabulary[w] for w in hit]] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["word", "n"])
+            for b, file in enumerate(vocabularies):
+                known = _held(file)
+                df = np.zeros(len(known) + 1, np.int64)
+                for text in batch.column(0):
+                    df[-1] += 1
+                    if hit := known.keys() & words_of(text.as_py()):
+                        df[[known[w] for w in hit]] += 1
+                at = np.flatnonzero(df)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b)), pa.array(np.where(at == len(known), -1, at)), pa.array(df[at])], ["block", "word", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "block long, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
+
+
+_HELD: dict = {}
+
 
-    rows = docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(n + 1, np.int64)
-    for r in rows:
-        df[r["word"]] = r["n"]
-    return df[:-1], int(df[-1])
+def _held(file: str):
+    """A block's file; a worker keeps the last one."""
+    if file not in _HELD:
+        _HELD.clear()
+        _HELD[file] = read_blob(file)
+    return _HELD[file]
 
 
 def _passage(words: list[bytes], vocabulary: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,11 +199,9 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
             out, seen = np.zeros((n, basis.shape[1])), False
             for batch in batches:
                 for text in batch.column(0):
-                    words = [w for w in words_of(text.as_py()) if w in vocabulary]
-                    if len(words) >= LEAST_WORDS:
-                        at, x = _passage(words, vocabulary, idf)
-                        out[at] += np.outer(x, x @ basis[at])
-                        seen = True
+                    at, x = _passage(words_of(text.as_py()), vocabulary, idf)
+                    out[at] += np.outer(x, x @ basis[at])
+                    seen = True
             if seen:
                 blocks = range(0, n, rows_a_block)
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([out[b : b + rows_a_block].tobytes() for b in blocks], pa.binary())], ["block", "part"])
@@ -201,111 +224,162 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[bytes, int], idf: np.nd
     return basis @ turn[:, np.argsort(-value)[:rank]]
 
 
-def _search(docs: DataFrame, items: list[tuple[int, list[bytes]]], short: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray, most_idf: float, space: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    weight = (idf[:, None] * space).astype(np.float32)
-    square = np.append(idf, most_idf).astype(np.float32) ** 2
-    rows = np.zeros((len(items), space.shape[1]), np.float32)
-    for r, (_, words) in enumerate(items):
-        at, x = _passage(words, vocabulary, idf)
-        rows[r] = x @ space[at]
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-
-    counts = [Counter(words) for _, words in items]
-    pairs = Pairs([np.array([vocabulary[w] for w in words]) for _, words in items], len(vocabulary)) if items else None
-    by_first: dict[bytes, list[tuple[int, list[bytes]]]] = {}
-    for item_id, words in short:
-        by_first.setdefault(words[0], []).append((item_id, words))
-
-    def verbatim(words: list[bytes]) -> dict[int, float]:
-        if not (firsts := by_first.keys() & words):
+class Block:
+    """What the search needs of a block: passages with their places in the latent space, their pairs, and short items."""
+
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes] | None]], short: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray, most_idf: float, space: np.ndarray):
+        self.items, self.vocabulary = items, vocabulary
+        self.weight = (idf[:, None] * space).astype(np.float32)
+        self.square = np.append(idf, most_idf).astype(np.float32) ** 2
+        self.rows = np.zeros((len(items), space.shape[1]), np.float32)
+        for r, (_, words, _) in enumerate(items):
+            at, x = _passage(words, vocabulary, idf)
+            self.rows[r] = x @ space[at]
+        self.rows /= np.maximum(np.linalg.norm(self.rows, axis=1, keepdims=True), 1e-9)
+        self.counts = [Counter(words) for _, words, _ in items]
+        ends = [answer is not None and words[-len(answer) :] == answer for _, words, answer in items]
+        self.pairs = Pairs([np.array([vocabulary[w] for w in words]) for _, words, _ in items], len(vocabulary), ends) if items else None
+        self.by_first: dict[bytes, list[tuple[int, list[bytes]]]] = {}
+        for item_id, words in short:
+            self.by_first.setdefault(words[0], []).append((item_id, words))
+
+    def verbatim(self, words: list[bytes]) -> dict[int, float]:
+        if not (firsts := self.by_first.keys() & words):
             return {}
-        return {item_id: 1.0 for i, w in enumerate(words) if w in firsts for item_id, item in by_first[w] if words[i : i + len(item)] == item}
+        return {item_id: 1.0 for i, w in enumerate(words) if w in firsts for item_id, item in self.by_first[w] if words[i : i + len(item)] == item}
 
-    def compare(item: int, region: list[bytes], found: dict[int, float]) -> None:
-        item_id, item_words = items[item]
-        shared = counts[item].keys() & region
-        if sum(map(counts[item].__getitem__, shared)) < LCS_WITH_ANSWER * len(item_words):
+    def compare(self, item: int, region: list[bytes], found: dict[int, float]) -> None:
+        item_id, words, answer = self.items[item]
+        shared = self.counts[item].keys() & region
+        if sum(map(self.counts[item].__getitem__, shared)) < LCS_WITH_ANSWER * len(words):
             return  # no subsequence is longer than what they share
-        if score := judge(item_words, [w for w in region if w in shared]):
+        wanted = shared | set(answer or ())
+        if score := judge(words, [w for w in region if w in wanted], answer):
             found[item_id] = max(found.get(item_id, 0.0), score)
 
-    def one(text: str | None) -> dict[int, float]:
-        words = words_of(text)
-        n, found = len(words), verbatim(words) if by_first else {}
-        if n < LEAST_WORDS or not items:
-            return found
-        ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, n)
-        cuts = np.arange(0, n, STRIDE)
-        norm = np.add.reduceat(square[ids], cuts)
-        at = np.flatnonzero(ids >= 0)  # other words are beyond the space
-        first = np.searchsorted(at, cuts)
-        some = np.flatnonzero(first < np.append(first[1:], len(at)))
-        sums = np.zeros((len(cuts), weight.shape[1]), np.float32)
-        if len(some):
-            sums[some] = np.add.reduceat(weight[ids[at]], first[some], axis=0)
+    def near(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, passage) where the cosine is high enough, some windows at a time."""
         wide = max(1, WINDOW // STRIDE)
-        if len(cuts) > wide:
-            total, size = np.cumsum(sums, axis=0), np.cumsum(norm)
-            total[wide:] -= total[:-wide].copy()
-            size[wide:] -= size[:-wide].copy()
-            total, size = total[wide - 1 :], size[wide - 1 :]
-        else:
-            total, size = sums.sum(axis=0, keepdims=True), norm.sum(keepdims=True)
-        cosine = (total @ rows.T) / np.sqrt(np.maximum(size, 1e-9))[:, None]
-        for at, item in np.argwhere(cosine >= LEAST_COSINE):
-            item_id, item_words = items[item]
-            if found.get(item_id, 0.0) >= LCS_SHARE:
+        windows = max(1, -(-len(ids) // STRIDE) - wide + 1)
+        for s in range(0, windows, SLICE):
+            part = ids[s * STRIDE : (min(windows, s + SLICE) + wide - 1) * STRIDE]
+            cuts = np.arange(0, len(part), STRIDE)
+            size = np.add.reduceat(self.square[part], cuts)
+            at = np.flatnonzero(part >= 0)  # other words are beyond the space
+            first = np.searchsorted(at, cuts)
+            some = np.flatnonzero(first < np.append(first[1:], len(at)))
+            total = np.zeros((len(cuts), self.weight.shape[1]), np.float32)
+            if not len(some):
                 continue
-            reach = max(WINDOW, len(item_words))
-            start, end = at * STRIDE - reach, at * STRIDE + WINDOW + reach
-            compare(item, words[max(0, start) : end], found)
-        for item, place in pairs.places(ids):
-            item_id, item_words = items[item]
-            if found.get(item_id, 0.0) < LCS_SHARE:
-                compare(item, words[max(0, place - len(item_words)) : place + 2 * len(item_words)], found)
+            total[some] = np.add.reduceat(self.weight[part[at]], first[some], axis=0)
+            if len(cuts) > wide:
+                total, size = np.cumsum(total, axis=0), np.cumsum(size)
+                total[wide:] -= total[:-wide].copy()
+                size[wide:] -= size[:-wide].copy()
+                total, size = total[wide - 1 :], size[wide - 1 :]
+            else:
+                total, size = total.sum(axis=0, keepdims=True), size.sum(keepdims=True)
+            cosine = (total @ self.rows.T) / np.sqrt(np.maximum(size, 1e-9))[:, None]
+            for window, item in np.argwhere(cosine >= LEAST_COSINE):
+                yield s + int(window), int(item)
+
+    def leaks(self, text: str | None) -> dict[int, float]:
+        words = words_of(text)
+        found = self.verbatim(words) if self.by_first else {}
+        if len(words) < LEAST_WORDS or not self.items:
+            return found
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        for window, item in self.near(ids):
+            if found.get(self.items[item][0], 0.0) < LCS_SHARE:
+                reach = max(WINDOW, len(self.items[item][1]))
+                start, end = window * STRIDE - reach, window * STRIDE + WINDOW + reach
+                self.compare(item, words[max(0, start) : end], found)
+        for item, place in self.pairs.places(ids):
+            if found.get(self.items[item][0], 0.0) < LCS_SHARE:
+                reach = len(self.items[item][1])
+                self.compare(item, words[max(0, place - reach) : place + 2 * reach], found)
         return found
 
+
+def _search(docs: DataFrame, blocks: list[str], id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, item_ids, scores = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for item_id, score in one(text.as_py()).items():
-                    doc_ids.append(i)
-                    item_ids.append(item_id)
-                    scores.append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(item_ids, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
+            scores: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
+            for file in blocks:
+                block = _held(file)
+                for found, text in zip(scores, batch.column(1), strict=True):
+                    for item_id, score in block.leaks(text.as_py()).items():
+                        found[item_id] = max(found.get(item_id, 0.0), score)
+            rows = [(i, item_id, score) for i, found in zip(batch.column(0).to_pylist(), scores, strict=True) for item_id, score in found.items()]
+            doc_ids, item_ids, values = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(item_ids, pa.int64()), pa.array(values, pa.float64())], ["doc_id", "item_id", "score"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, item_id long, score double")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, score) of each document and benchmark item that it holds, in part or in other words.
+def _passages(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, answer, n, short) of every distinct passage, its words in lower case with spaces between."""
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
 
-    Null and empty texts, and items without words, match nothing.  An item with fewer than
-    ``LEAST_WORDS`` words matches a text with these words in a row.  Items that repeat an id count as
-    that item.  A row without an id appears with a null id.  Rows that repeat an
-    id give a row each.  Empty tables give an empty table; other columns are not read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item_id, text, said in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                words = words_of(text.as_py())
+                for passage, end in passages_of(words, words_of(said.as_py()) or None) if words else ():
+                    rows.append((item_id, b" ".join(passage), None if end is None else b" ".join(end), len(passage), len(words) < LEAST_WORDS))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], ["item_id", "text", "answer", "n", "short"])
+
+    known = benchmark.select(F.col("item_id").cast("long"), "text", answer.alias("answer")).where("item_id is not null and text is not null")
+    made = known.mapInArrow(run, "item_id long, text binary, answer binary, n long, short boolean").distinct()
+    return made.select("item_id", F.decode("text", "UTF-8").alias("text"), F.decode("answer", "UTF-8").alias("answer"), "n", "short")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, score) of each document and benchmark item of which it holds a passage, in part or in other words.
+
+    ``benchmark`` has item_id, text and, if it knows them, answer; without that column an item's last
+    ``ANSWER_WORDS`` words stand for its answer.  Null and empty texts, and items without words, match
+    nothing.  An item with fewer than ``LEAST_WORDS`` words matches a text with these words in a row.
+    Items that repeat an id count as that item.  Ids are integers.  A row without an id appears with a
+    null id.  Rows that repeat an id give a row each.  Empty tables give an empty table; other columns
+    are not read.
     """
-    spark, known = docs.sparkSession, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    blocks, out = max(1, -(-known.count() // block)), None
+    spark = docs.sparkSession
+    passages = materialise(_passages(benchmark), "passages")
+    n, n_words = passages.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    if not n:
+        return spark.createDataFrame([], "doc_id long, item_id long, score double")
+    blocks = max(1, -(-n // block), -(-n_words // block_words))
+    passages = passages.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    folder = scratch(spark, "blocks")
+
+    def of(b: int) -> tuple[list, list, dict[bytes, int]]:
+        rows = [(r["item_id"], r["text"].encode("utf-8", "surrogatepass").split(), r["answer"] and r["answer"].encode("utf-8", "surrogatepass").split(), r["short"]) for r in passages.where(F.col("block") == b).collect()]
+        items, short = sorted((r[:3] for r in rows if not r[3]), key=lambda r: r[:2]), [r[:2] for r in rows if r[3]]
+        return items, short, {w: i for i, w in enumerate(dict.fromkeys(w for _, words, _ in items for w in words))}
+
+    files = [f"{folder}/words-{b}" for b in range(blocks)]
+    for b, file in enumerate(files):
+        write_blob(file, of(b)[2])
+    counts = materialise(document_frequencies(docs, files, text_col), "frequencies")
+    made = []
     for b in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        known_words = [(r["item_id"], w) for r in part.collect() if (w := words_of(r["text"]))]
-        items, short = [x for x in known_words if len(x[1]) >= LEAST_WORDS], [x for x in known_words if len(x[1]) < LEAST_WORDS]
-        if not known_words:
-            continue
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
-        df, n_docs = document_frequencies(docs, vocabulary, text_col) if items else (np.zeros(0), 0)
-        idf = np.log((1 + n_docs) / (1 + df)) + 0.01
-        space = randomised_svd(part.repartition(max(1, len(items) // 1000)), vocabulary, idf, min(rank, len(vocabulary))) if items else np.zeros((0, 0))
-        found = _search(docs, items, short, vocabulary, idf, float(np.log(1 + n_docs) + 0.01), space, id_col, text_col)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double")
+        items, short, vocabulary = of(b)
+        df = np.zeros(len(vocabulary) + 1, np.int64)
+        for r in counts.where(F.col("block") == b).collect():
+            df[r["word"]] = r["n"]
+        n_docs = int(df[-1])
+        idf = np.log((1 + n_docs) / (1 + df[:-1])) + 0.01
+        own = passages.where((F.col("block") == b) & ~F.col("short")).repartition(max(1, len(items) // 1000))
+        space = randomised_svd(own, vocabulary, idf, min(rank, len(vocabulary))) if items else np.zeros((0, 0))
+        made.append(f"{folder}/block-{b}")
+        write_blob(made[-1], Block(items, short, vocabulary, idf, float(np.log(1 + n_docs) + 0.01), space))
+    return _search(docs, made, id_col, text_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without an id stay."""
-    from compactcodec.llm.common import materialise
-
     leaks = materialise(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
     return docs.join(leaks, id_col, "left_anti")

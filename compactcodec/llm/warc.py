@@ -3,13 +3,16 @@
 A revisit is joined, as of its time, to the latest earlier full response of its canonical URL.  Keys
 and times alone take part in that join.  A URL's timeline is cut into spans of time: within a span a
 window finds the latest response, and one row a URL and span carries it over the spans before.  So no
-task gets more of a URL than one span, however many captures it has.  Bodies then join by record.
+task gets more of a URL than the distinct times of one span, however many captures it has.  Headers
+and bodies then join by URL, time and record.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from compactcodec.llm.common import materialise
+
 SPAN = 86_400
 #: fields of a 304 response that replace those of the stored one
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -48,69 +53,188 @@ def merge_headers(stored: Column, fresh: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.concat(old, new)))
 
 
+def latest_before(captures: DataFrame, span: int = SPAN) -> DataFrame:
+    """key, at, hit (at and record_id of the latest strictly earlier response) of each distinct URL and time of ``captures``.
+
+    Rows of one URL and time have one answer, so they are one row before any window sees them: a
+    window holds a URL's distinct times within ``span``, and a second one a row for each span.
+    """
+    full = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
+    times = captures.groupBy("key", F.floor(F.col("at") / span).alias("span"), "at").agg(F.max(full).alias("last"))
+    within = Window.partitionBy("key", "span").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    spans = times.groupBy("key", "span").agg(F.max("last").alias("last"))
+    carried = spans.select("key", "span", F.max("last").over(Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    near = times.select("key", "span", "at", F.max("last").over(within).alias("near"))
+    return near.join(carried, ["key", "span"]).select("key", "at", F.coalesce("near", "before").alias("hit"))
+
+
 def resolve_revisits(captures: DataFrame, span: int = SPAN) -> DataFrame:
     """One row for each revisit: record_id, url, at, status, resolved_id, headers, body.
 
-    ``captures`` has record_id, url, at (a number), kind (``response`` or ``revisit``), etag,
+    ``captures`` has record_id, url, at (a whole number), kind (``response`` or ``revisit``), etag,
     last_modified, headers (map) and body; other kinds and columns are not looked at.  Only a strictly
-    earlier response counts; of several at one time that with the largest record_id.  Entity tags
+    earlier response counts; of several at one time that with the largest record_id, and of several
+    rows of one URL, time and record_id that with the largest validators and then body.  Entity tags
     agree without their weakness mark; where the revisit has none, the dates of modification must
     agree.  A revisit without an earlier response, or whose validators disagree, keeps its own headers
-    and has no body.  Null URLs and times match nothing.  Repeated rows give repeated results.
+    and has no body.  Null URLs and times match nothing.  Repeated rows give repeated results, and
+    revisits that share a record_id are resolved each by its own URL and time.
+
+    Answers and stored responses are written before they are joined, so that the join can split a page
+    that is revisited very often.
     """
-    rows = captures.select("record_id", "url", "at", "kind", canonical_url(F.col("url")).alias("key"), F.floor(F.col("at") / span).alias("span")).where(F.col("kind").isin("response", "revisit"))
+    names = ["record_id", "url", "at", "etag", "last_modified", "headers"]
+    rows = captures.select(*names, "kind", "body", canonical_url(F.col("url")).alias("key")).where(F.col("kind").isin("response", "revisit"))
     timed = rows.where("key is not null and at is not null")
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
-    carried = timed.groupBy("key", "span").agg(F.max(full).alias("last"))
-    carried = carried.withColumn("before", F.max("last").over(Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).select("key", "span", "before")
-    near = F.max(full).over(Window.partitionBy("key", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
-    found = timed.withColumn("near", near).where("kind = 'revisit'").join(carried, ["key", "span"]).select("record_id", F.coalesce("near", "before")["record_id"].alias("resolved_id")).distinct()
-    fresh = captures.where("kind = 'revisit'").select("record_id", "url", "at", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_modified"), F.col("headers").alias("new_headers"))
-    stored = captures.where("kind = 'response'").select(F.col("record_id").cast("string").alias("hit"), "etag", "last_modified", "headers", "body").dropDuplicates(["hit"])
-    # what has no earlier response is dealt by its own id, not all to one task
-    hit = F.coalesce(F.col("resolved_id").cast("string"), F.concat(F.lit("none "), F.col("record_id").cast("string")))
-    both = fresh.join(found, "record_id", "left").withColumn("hit", hit).join(stored, "hit", "left")
+    answers = materialise(latest_before(timed.select("key", "at", "kind", "record_id"), span).where("hit is not null"), "answers")
+    first = F.struct(F.coalesce("etag", F.lit("")), F.coalesce("last_modified", F.lit("")), F.coalesce("body", F.lit("")))
+    stored = timed.where("kind = 'response'").groupBy(F.col("key").alias("hit_key"), F.col("at").alias("hit_at"), F.col("record_id").alias("hit_id"))
+    stored = materialise(stored.agg(F.max_by(F.struct("etag", "last_modified", "headers", "body"), first).alias("stored")), "stored")
+    fresh = rows.where("kind = 'revisit'").select("key", *names)
+    # what has no URL or time is dealt by its own id, not all to one task
+    dealt = fresh.withColumn("key", F.coalesce("key", F.concat(F.lit("none "), F.col("record_id").cast("string"))))
+    found = dealt.join(answers, ["key", "at"], "left").select("key", *names, "hit.at", "hit.record_id").toDF("key", *names, "to_at", "to_id")
+    to_key = F.when(F.col("to_at").isNotNull(), F.col("key")).otherwise(F.concat(F.lit("none "), F.col("record_id").cast("string")))
+    both = found.withColumn("to_key", to_key).join(stored, (F.col("to_key") == F.col("hit_key")) & (F.col("to_at") == F.col("hit_at")) & F.col("to_id").eqNullSafe(F.col("hit_id")), "left")
     tag = lambda c: F.regexp_replace(c, "^W/", "")
-    agree = F.when(F.col("new_etag").isNotNull(), tag("new_etag") == tag("etag")).otherwise(F.col("new_modified") == F.col("last_modified"))
-    status = F.when(F.col("resolved_id").isNull(), MISSING).when(F.coalesce(agree, F.lit(False)), RESOLVED).otherwise(MISMATCH)
-    both = both.withColumn("status", status)
-    good = F.col("status") == RESOLVED
-    own = F.map_from_entries(F.array_sort(_clean_headers(F.col("new_headers"))))
-    return both.select("record_id", "url", "at", "status", "resolved_id", F.when(good, merge_headers(F.col("headers"), F.col("new_headers"))).otherwise(own).alias("headers"), F.when(good, F.col("body")).alias("body"))
+    agree = F.when(F.col("etag").isNotNull(), tag(F.col("etag")) == tag(F.col("stored.etag"))).otherwise(F.col("last_modified") == F.col("stored.last_modified"))
+    status = F.when(F.col("hit_key").isNull(), MISSING).when(F.coalesce(agree, F.lit(False)), RESOLVED).otherwise(MISMATCH)
+    good = status == RESOLVED
+    own = F.map_from_entries(F.array_sort(_clean_headers(F.col("headers"))))
+    return both.select("record_id", "url", "at", status.alias("status"), F.col("to_id").alias("resolved_id"), F.when(good, merge_headers(F.col("stored.headers"), F.col("headers"))).otherwise(own).alias("headers"), F.when(good, F.col("stored.body")).alias("body"))
 
 
-def write_record(kind: str, headers: dict[str, str], content: bytes) -> bytes:
-    """One WARC record as a gzip member of its own."""
+def write_record(kind: str, headers: dict[str, str], content: bytes, compress: bool = True) -> bytes:
+    """One WARC record, as a gzip member of its own unless told otherwise."""
     lines = [b"WARC/1.1", b"WARC-Type: " + kind.encode()]
     lines += [f"{k}: {v}".encode() for k, v in headers.items() if k.lower() not in ("warc-type", "content-length")]
     lines.append(b"Content-Length: " + str(len(content)).encode())
-    return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + content + b"\r\n\r\n", mtime=0)
+    raw = b"\r\n".join(lines) + b"\r\n\r\n" + content + b"\r\n\r\n"
+    return gzip.compress(raw, 6, mtime=0) if compress else raw
 
 
-def read_records(raw: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """Type, headers (names in lower case) and content of each record; plain or gzip-compressed."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
-    while first := stream.readline():
-        if not first.strip():
-            continue
-        if not first.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        content = stream.read(int(headers.get("content-length", 0)))
-        yield headers.get("warc-type", ""), headers, content
+def read_records(source) -> Iterator[tuple[str, dict[str, str], bytes, bool]]:
+    """Type, headers (names in lower case), content of each record, and whether it is whole; ``source`` is a file or bytes, plain or gzip-compressed.
+
+    A file that ends within a record, or whose compressed data is damaged, gives what there is of that
+    record, marked as not whole; so does a record without a readable length.  Nothing follows it.
+    """
+    stream = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+    while True:
+        kind, headers, content, whole = "", {}, b"", False
+        try:
+            first = stream.readline()
+            if not first:
+                return
+            if not first.strip():
+                continue
+            if not first.startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+            kind, length = headers.get("warc-type", ""), headers.get("content-length", "")
+            if length.isdecimal():
+                left, parts = int(length), []
+                try:
+                    while left and (part := stream.read(min(1 << 20, left))):
+                        parts.append(part)
+                        left -= len(part)
+                finally:
+                    content = b"".join(parts)
+                whole = not left
+        except (EOFError, OSError, zlib.error):
+            whole = False
+        yield kind, headers, content, whole
+        if not whole:
+            return
+
+
+RECORDS = "number long, type string, url string, date string, headers map<string,string>, content binary, complete boolean"
+
+
+def _batch(file: str, number: int, kind: str, headers: dict[str, str], content: bytes, whole: bool) -> pa.RecordBatch:
+    texts = [pa.array([x], pa.string()) for x in (kind, headers.get("warc-target-uri"), headers.get("warc-date"))]
+    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), *texts, pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([content], pa.binary()), pa.array([whole])], ["file", "number", "type", "url", "date", "headers", "content", "complete"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: file, number, type, url, date, headers, content.  A task reads whole files."""
+    """Records of WARC files: file, number, type, url, date, headers, content, complete.
+
+    Spark lists the files; a task streams each of its files and holds one record at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+                with system.open_input_stream(name, compression=None) as source:
+                    for number, record in enumerate(read_records(source)):
+                        yield _batch(file, number, *record)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(run, f"file string, {RECORDS}")
+
+
+def read_archives(archives: DataFrame, column: str) -> DataFrame:
+    """Records of the archives in a binary column, each a file's bytes: number, type, url, date, headers, content, complete; null ones have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, (kind, headers, content) in enumerate(read_records(raw.as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([kind]), pa.array([headers.get("warc-target-uri")], pa.string()), pa.array([headers.get("warc-date")], pa.string()), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([content], pa.binary())], ["file", "number", "type", "url", "date", "headers", "content"])
+            made = [_batch("", number, *record) for raw in batch.column(0) if raw.is_valid for number, record in enumerate(read_records(raw.as_py()))]
+            if made:
+                table = pa.Table.from_batches(made).drop_columns("file").combine_chunks()
+                yield from table.to_batches()
+
+    return archives.select(column).mapInArrow(run, RECORDS)
+
+
+def write_archives(captures: DataFrame, compress: bool = True) -> DataFrame:
+    """``archive``: the bytes of WARC archives that hold all ``captures`` (record_id, url, at, kind, headers, body), some hundred in each.
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, number long, type string, url string, date string, headers map<string,string>, content binary")
+    A capture's content is its HTTP message.  What is null has no field; times are seconds since 1970.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                rows = batch.slice(start, 256)
+                made = []
+                for record_id, url, at, kind, headers, body in zip(*[c.to_pylist() for c in rows.columns[:-1]], rows.columns[-1], strict=True):
+                    fields = {"WARC-Record-ID": record_id, "WARC-Target-URI": url, "WARC-Date": at and datetime.datetime.fromtimestamp(at, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+                    head = [b"HTTP/1.1 304 Not Modified" if kind == "revisit" else b"HTTP/1.1 200 OK", *[f"{k}: {v}".encode() for k, v in headers or () if v is not None], b"", b""]
+                    raw = b"" if not body.is_valid else body.as_py().encode()
+                    made.append(write_record(kind, {k: v for k, v in fields.items() if v is not None}, b"\r\n".join(head) + raw, compress))
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], ["archive"])
+
+    plain = captures.select(F.col("record_id").cast("string"), "url", F.col("at").cast("long"), "kind", "headers", "body")
+    return plain.mapInArrow(run, "archive binary")
+
+
+def captures_of(records: DataFrame) -> DataFrame:
+    """Captures (as ``resolve_revisits`` takes them, record_id as text) of WARC records whose content is an HTTP message; records that are not whole are left out.
+
+    A revisit has no body.  Fields of one name in different case are one, the last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields, bodies = [], []
+            for kind, content in zip(batch.column("type").to_pylist(), batch.column("content"), strict=True):
+                head, _, body = content.as_py().partition(b"\r\n\r\n")
+                lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+                found = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
+                fields.append(found)
+                bodies.append(None if kind == "revisit" else body.decode("utf-8", "replace"))
+            lower = [{k.lower(): v for k, v in x.items()} for x in fields]
+            made = [pa.array([x.get(k) for x in lower], pa.string()) for k in ("etag", "last-modified")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made, pa.array([list(x.items()) for x in fields], pa.map_(pa.string(), pa.string())), pa.array(bodies, pa.string())], [*batch.schema.names[:4], "etag", "last_modified", "headers", "body"])
+
+    at = F.unix_timestamp(F.to_timestamp("date", "yyyy-MM-dd'T'HH:mm:ssX"))
+    plain = records.where("complete").select(F.col("headers")["warc-record-id"].alias("record_id"), "url", at.alias("at"), "type", "content")
+    out = plain.mapInArrow(run, "record_id string, url string, at long, type string, etag string, last_modified string, headers map<string,string>, body string")
+    return out.withColumnRenamed("type", "kind")

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -18,24 +19,56 @@ def test_pages_give_their_articles(spark, small):
     assert not pages
 
 
-WEIGHTS = html_extract.fit_weights(["<body><nav><ul><li><a>x y</a></li></ul></nav><div class=ad>a b</div><article><h1>t</h1><p>c d e f g</p></article><footer>z</footer></body>"])
+def labelled(body):
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
+
+
+WEIGHTS = html_extract.fit_weights([labelled(
+    "<header class=masthead><h1>Site name</h1></header><nav class='main-menu'><ul><li><a>x y</a></li><li><a>z</a></li></ul></nav><div class=ad>a b c</div>"
+    "<article><h1>Title of it</h1><p>c d e f g h i j</p><ul><li>an item of a list</li></ul><blockquote>said and quoted words</blockquote><p>k l m n o p</p></article>"
+    "<div class='promo-box'>buy this now</div><footer>z z</footer>")] * 20)
 
 
 @pytest.mark.parametrize(("page", "text"), [
     ("", ""), (None, ""), ("just words", "just words"), ("<article></article>", ""),
     ("<article><p>a &amp; b&nbsp;<b>c</b>d\n  e<br>f<p>g</article>", "a & b cd e f g"),
-    ("<article><p>one<div class='ad'>buy</div><p>two<aside>x</aside><form>f<input></form><section id=comments><p>nice post</section><p>three</article>", "one two three"),
+    ("<article><p>one two three<div class='ad'>buy</div><p>four five six<aside>x</aside><form>f<input></form><section id=comments><p>nice post</section><p>seven eight nine</article>", "one two three four five six seven eight nine"),
     ("<article><p>x<script>if (a < b) '</p>'</script>y<style>p{}</style><!-- c --><p>z", "xy z"),
-    ("<body><header><h1>Site</h1></header><div class='cookie-notice'>We use cookies</div><div><h2>T</h2><p>first words here <a href=x>link</a> end<p>Second.</div><footer>c</footer>", "T first words here link end Second."),
-    ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article><p>outside words that are many many many", "a b c d"),
     ("<ARTICLE><P CLASS=x>Up<P>per</ARTICLE>", "Up per"), ("<article><p>&lt;b&gt; &#233; &zzz; 1 < 2</p></article>", "<b> é &zzz; 1 < 2"),
+    # inside an article only whole names are left out, and a header of its own stays
+    ("<article><p>kept one<div class='article-header'><h2>Heading words</h2></div><p class='share-price'>The share price rose.</p><div id='search-results-study'><p>A study of search.</div></article>", "kept one Heading words The share price rose. A study of search."),
+    ("<article><header><h1>Head of it</h1></header><p>text of it</article>", "Head of it text of it"),
+    ("<article><p>one two three four</article><p>between</p><article><p>five six seven</article>", "one two three four between five six seven"),
 ])
 def test_page_shapes(page, text):
     assert html_extract.main_text(page, WEIGHTS) == text
 
 
+#: pages that no element marks, and their text as a reader would mark it
+UNMARKED = [
+    (labelled("<header><h1>Site</h1></header><div class='cookie-notice'>We use cookies here</div><div><h2>The title</h2><p>First words here <a href=x>link</a> end.<p>Second part.</div><footer>contact us</footer>"), "The title First words here link end. Second part."),
+    (labelled("<nav class='main-menu'><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div class='page'><div class='text'><h1>Rain</h1><p>It rained all day in the north.</p><ul><li>one wet road</li></ul><p>It stopped at night.</p></div><div class='promo-box'>buy this now and save</div></div><footer>z</footer>"), "Rain It rained all day in the north. one wet road It stopped at night."),
+    (labelled("<div class=ad>buy now cheap</div><section><p>A text that stands in a section alone.</p><blockquote>Somebody said this.</blockquote></section><section id=comments><p>I liked this a lot</p></section>"), "A text that stands in a section alone. Somebody said this."),
+    (labelled("<div class='promo-box'>a short offer</div><p>Loose words of a page without any box at all.</p><nav><a>next</a></nav>"), "Loose words of a page without any box at all."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), UNMARKED)
+def test_weights_decide_on_hand_marked_pages(page, text):
+    assert html_extract.main_text(page, WEIGHTS) == text
+    assert html_extract.main_text(page, {"words": {}, "within": {}, "tags": {}}) != text
+
+
+def test_without_weights_the_query_has_other_rows(spark, small):
+    """Every page of the table, marked or not, owes its text to the fitted weights."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    texts = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    bare = {r["page_id"]: r["text"] for r in html_extract.extract(pages, weights={"words": {}, "within": {}, "tags": {}}).collect()}
+    assert all(texts[i] != bare[i] for i in texts)
+
+
 def test_fitted_weights_find_the_text_of_unmarked_pages(spark, small):
-    """Pages whose article tags are taken off give the same text by the weights alone."""
+    """Pages whose article tags are taken off give the same text."""
     pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect() if r["html"]]
     weights = html_extract.fit_weights(pages)
     for page in pages:
@@ -43,10 +76,25 @@ def test_fitted_weights_find_the_text_of_unmarked_pages(spark, small):
         assert bare != page and html_extract.main_text(bare, weights) == html_extract.main_text(page, weights)
 
 
-def test_a_marked_teaser_decides_its_page():
-    """A known limit: only marked text counts on a page that marks some."""
+def test_a_marked_teaser_does_not_hide_the_text():
     page = "<body><article><p>Short teaser</p></article><div><p>" + "the long main text " * 30 + "</p></div></body>"
-    assert html_extract.main_text(page, WEIGHTS) == "Short teaser"
+    assert html_extract.main_text(page, WEIGHTS).endswith("the long main text " * 29 + "the long main text")
+
+
+@pytest.mark.parametrize("piece", ["<div><b>x</i>", "<p><b>x</i></p></b>", "<table><tr><td><li>x", "<b></div>"])
+def test_time_is_linear_in_nesting(piece):
+    def seconds(n):
+        start = time.perf_counter()
+        html_extract.main_text(piece * n, WEIGHTS)
+        return time.perf_counter() - start
+
+    assert min(seconds(16_000) for _ in range(2)) < 8 * 2.5 * max(0.01, min(seconds(2000) for _ in range(2)))
+
+
+def test_the_sample_is_the_same_at_any_layout(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    assert html_extract.labelled_sample(pages.repartition(7), most=20) == html_extract.labelled_sample(pages.coalesce(1), most=20)
+    assert html_extract.labelled_sample(pages, most_bytes=10) == []
 
 
 def test_pages_of_a_frame(spark):
@@ -93,6 +141,30 @@ def test_revisits(spark):
     assert warc.resolve_revisits(twice).count() == 14
 
 
+def test_revisits_that_share_a_record_id_and_responses_that_do(spark):
+    log = [
+        (1, "http://a.org/", 10, "response", "e1", None, {}, "one"), (2, "http://b.org/", 10, "response", "e2", None, {}, "two"),
+        (9, "http://a.org/", 20, "revisit", "e1", None, {}, None), (9, "http://b.org/", 20, "revisit", "e2", None, {}, None),
+        (5, "http://c.org/", 10, "response", "e3", None, {}, "small"), (5, "http://c.org/", 10, "response", "e3", None, {}, "tall"),
+        (6, "http://c.org/", 20, "revisit", "e3", None, {}, None), (5, "http://d.org/", 10, "response", "e3", None, {}, "elsewhere"),
+        (None, "http://e.org/", 10, "response", "e4", None, {}, "no id"), (None, "http://e.org/", 20, "revisit", "e4", None, {}, None),
+    ]
+    found = warc.resolve_revisits(spark.createDataFrame(log, CAPTURE)).collect()
+    assert sorted((str(r["record_id"]), r["url"], r["resolved_id"], r["body"]) for r in found) == [("6", "http://c.org/", 5, "tall"), ("9", "http://a.org/", 1, "one"), ("9", "http://b.org/", 2, "two"), ("None", "http://e.org/", None, "no id")]
+
+
+def test_a_hot_page_and_a_very_long_body(spark):
+    """Thousands of revisits in one second and over days, against a plain scan."""
+    rng = random.Random(3)
+    times = [rng.randrange(0, 400_000) for _ in range(3000)] + [5000] * 2000
+    log = [(i, "http://hot.org/", t, "revisit", "e", None, {}, None) for i, t in enumerate(times)]
+    log += [(10_000 + i, "http://hot.org/", t, "response", "e", None, {}, "x" * 3_000_000 if i == 0 else f"b{i}") for i, t in enumerate([4999, 5000, 100_000, 100_000, 300_000])]
+    found = {r["record_id"]: (r["resolved_id"], r["n"]) for r in warc.resolve_revisits(spark.createDataFrame(log, CAPTURE), span=50_000).selectExpr("record_id", "resolved_id", "length(body) as n").collect()}
+    full = sorted((r[2], r[0], len(r[7])) for r in log if r[3] == "response")
+    want = {r[0]: max(((f[1], f[2]) for f in full if f[0] < r[2]), key=lambda x: next(f[:2] for f in full if f[1] == x[0]), default=(None, None)) for r in log if r[3] == "revisit"}
+    assert found == want
+
+
 def test_revisits_equal_sql(spark, small):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -108,11 +180,33 @@ def test_archive_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(raw)
     (tmp_path / "b.warc").write_bytes(b"")
     rows = warc.read_warc(spark, str(tmp_path)).orderBy("number").collect()
-    assert [r["url"] for r in rows] == [f"http://x/{i}" for i in range(5)] and bytes(rows[4]["content"]).startswith(b"body 4")
+    assert [r["url"] for r in rows] == [f"http://x/{i}" for i in range(5)] and bytes(rows[4]["content"]).startswith(b"body 4") and all(r["complete"] for r in rows)
     with pytest.raises(ValueError, match="WARC"):
         list(warc.read_records(b"nonsense\r\n"))
 
 
+def test_damaged_archives_say_so(spark):
+    plain = [warc.write_record("response", {"WARC-Target-URI": f"u{i}"}, b"x" * 500, compress=False) for i in range(2)]
+    whole = b"".join(plain)
+    assert [r[3] for r in warc.read_records(whole)] == [True, True]
+    cut = list(warc.read_records(whole[:-300]))
+    assert [r[3] for r in cut] == [True, False] and len(cut[1][2]) == 204
+    packed = b"".join(warc.write_record("response", {}, bytes([i]) * 5000) for i in range(2))
+    assert [r[3] for r in warc.read_records(packed[:-12])] == [True, False]
+    assert [r[3] for r in warc.read_records(whole.replace(b"Content-Length: 500", b"Content-Length: many", 1))] == [False]
+    df = spark.createDataFrame([(bytearray(whole[:-300]),), (None,), (bytearray(b""),)], "archive binary")
+    assert [r["complete"] for r in warc.read_archives(df, "archive").collect()] == [True, False]
+    assert warc.captures_of(warc.read_archives(df, "archive")).count() == 1
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_captures_survive_archives(spark, compress):
+    log = [("1", "http://x/", 5, "response", {"ETag": "e", "Last-Modified": "m"}, "b\r\n\r\né" + "long " * 300_000), ("2", None, None, "revisit", {}, None), ("3", "http://x/", 7, "revisit", {"etag": "e"}, None), ("4", "http://y/", 7, "response", None, "")]
+    df = spark.createDataFrame(log, "record_id string, url string, at long, kind string, headers map<string,string>, body string").repartition(2)
+    found = warc.captures_of(warc.read_archives(warc.write_archives(df, compress), "archive")).collect()
+    assert sorted((r["record_id"], r["url"], r["at"], r["kind"], r["etag"], r["last_modified"], r["headers"], r["body"]) for r in found) == [(a, b, c, k, (h or {}).get("ETag") or (h or {}).get("etag"), (h or {}).get("Last-Modified"), h or {}, t) for a, b, c, k, h, t in log]
+
+
 # ---------------------------------------------------------------- benchmark
 
 
@@ -130,21 +224,66 @@ def test_lcs():
         assert decontaminate.lcs(a, b) == slow(a, b)
 
 
-def test_leaks_are_found_and_clean_documents_left(spark, small):
-    """Every document with eight words in a row of an item, and half of it, is found."""
+def leaks(passages, words):
+    """Does a text hold one of an item's passages?  Every region, word by word, without the latent space."""
+    for passage, answer in passages:
+        reach, known = 2 * max(len(passage), decontaminate.WINDOW), set(passage)
+        marks = [w in known for w in words]
+        if any(sum(marks[k : k + reach]) >= 0.45 * len(passage) and decontaminate.judge(passage, words[k : k + reach], answer) for k in range(0, max(1, len(words) - len(passage)), 10)):
+            return True
+    return False
+
+
+def test_leaks_equal_brute_force(spark, small):
+    """Each document and item of the tables, against the definition itself; pairs that share few words are none."""
     items = {r["item_id"]: decontaminate.words_of(r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
-    grams = {}
-    for i, w in items.items():
-        for k in range(len(w) - 7):
-            grams.setdefault(tuple(w[k : k + 8]), set()).add(i)
+    passages = {i: decontaminate.passages_of(w, None) for i, w in items.items() if len(w) >= decontaminate.LEAST_WORDS}
     want = set()
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
-        w = decontaminate.words_of(r["text"])
-        want |= {(r["doc_id"], i) for k in range(len(w) - 7) for i in grams.get(tuple(w[k : k + 8]), ())}
+        words = decontaminate.words_of(r["text"])
+        own = set(words)
+        want |= {(r["doc_id"], i) for i, ps in passages.items() if any(sum(w in own for w in p) >= 0.45 * len(p) for p, _ in ps) and leaks(ps, words)}
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op8_decontaminate"](spark, small).collect()}
     assert want and found == want
 
 
+def test_a_paragraph_of_a_long_item(spark):
+    """Some seventy words out of a thousand, at any place, are a leak; the blocks and their number don't matter."""
+    rng = random.Random(4)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    items = [(i, say(1000)) for i in range(6)]
+    docs = [(k, " ".join([*say(90), *items[k % 6][1][k * 37 : k * 37 + 70], *say(90)])) for k in range(24)] + [(99, " ".join(say(400)))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = {(k, k % 6) for k in range(24)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, block=30, block_words=1500).collect()} == want
+
+
+def test_answers_of_a_column(spark):
+    """Half of an item counts only where its answer stands there too."""
+    item = [f"q{i}" for i in range(40)]
+    half = " ".join(item[:20])
+    df = spark.createDataFrame([(1, f"{half} the answer is forty two indeed"), (2, half + " nothing of it here at all")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item), "Forty-two")], "item_id long, text string, answer string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()} == {(1, 7)}
+    assert decontaminate.find_leaks(df, bench.drop("answer")).count() == 0
+
+
+def test_windows_go_in_slices(spark):
+    """A text of several slices has the leaks that its parts have, wherever they stand."""
+    rng = random.Random(12)
+    say = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    items = [(i, say(40)) for i in range(12)]
+    step = decontaminate.SLICE * decontaminate.STRIDE
+    words = say(3 * step + 500)
+    for i, (_, w) in enumerate(items):
+        at = i * step // 4 + (i % 3) * 7
+        words[at : at + 40] = w
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    found = decontaminate.find_leaks(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {r["item_id"] for r in found.collect()} == set(range(12))
+
+
 def test_paraphrases_nulls_and_long_texts(spark):
     rng = random.Random(7)
     words = [f"v{i}" for i in range(3000)]
@@ -182,7 +321,7 @@ def test_a_copy_of_every_item_is_found(spark, n):
 def test_places_of_shared_pairs():
     """Every third word replaced, at the end of a text of several spans."""
     item = decontaminate.np.arange(30)
-    pairs = decontaminate.Pairs([item, decontaminate.np.arange(40, 60)], 100)
+    pairs = decontaminate.Pairs([item, decontaminate.np.arange(40, 60)], 100, [True, True])
     text = decontaminate.np.full(7000, -1)
     text[6900:6930] = decontaminate.np.where(item % 4 == 3, -1, item)
     assert {i for i, place in pairs.places(text) if 6890 <= place <= 6930} == {0}
