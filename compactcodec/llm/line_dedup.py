@@ -42,13 +42,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = materialise(common, "common")  # read anew, so that the join below can split a frequent line
     dropped = keys.join(common, ["h1", "h2"]).where(F.col("id") != F.col("holder"))
     dropped = dropped.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_list("pos").alias("__pos"))
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    lines = F.split(_text(text_col), "\n", -1)
-    joined = docs.join(dropped, (F.col(id_col) == F.col("__id")) & (F.xxhash64(_text(text_col)) == F.col("__of")), "left")
+    passed = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    # the caller's columns under names of our own, so that none can clash
+    plain = docs.select(*[docs[c].alias(f"p{i}") for i, c in enumerate(passed)], F.col(id_col).alias("__key"), _text(text_col).alias("__text"))
+    joined = plain.join(dropped, (F.col("__key") == F.col("__id")) & (F.xxhash64("__text") == F.col("__of")), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__pos")), lambda i: F.get(F.col("__lines"), i))
     whole = F.col("__pos").isNull()
-    out = joined.withColumn("__lines", lines)
-    out = out.withColumn("kept_text", F.when(whole, _text(text_col)).otherwise(F.array_join(kept, "\n")))
-    out = out.withColumn("n_lines", F.size("__lines").cast("long"))
-    out = out.withColumn("n_dropped", F.when(whole, F.lit(0)).otherwise(F.size(F.array_distinct("__pos"))).cast("long"))
-    return out.drop("__id", "__of", "__pos", "__lines")
+    out = joined.withColumn("__lines", F.split("__text", "\n", -1))
+    text = F.when(whole, F.col("__text")).otherwise(F.array_join(kept, "\n"))
+    n_dropped = F.when(whole, F.lit(0)).otherwise(F.size(F.array_distinct("__pos"))).cast("long")
+    made = out.select(*[f"p{i}" for i in range(len(passed))], text.alias("kept_text"), F.size("__lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    return made.toDF(*passed, "kept_text", "n_lines", "n_dropped")

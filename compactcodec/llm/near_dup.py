@@ -11,10 +11,16 @@ Two passes keep the work linear.  The first takes few trees; a large node is cut
 share some random members, which joins dense families across blocks.  The second takes the other
 trees and looks only at pairs from different components: a large node in which all but few members
 are one component is cut into blocks that all hold those few, which is exact; other large nodes
-branch.  With ``TREES`` trees a link of similarity s is missed at the roots with probability
-(1 - s) ** TREES, which is 6e-8 at 0.75; two branches at each further level keep a link with
-probability 0.89 in each tree that it reached.  Nodes that are still large at ``DEPTH`` are compared
-block by block, all of them.
+branch.  A path never selects a position twice.  With ``TREES`` trees a link of similarity s is missed
+at the roots with probability (1 - s) ** TREES, which is 6e-8 at 0.75.  Down to ``DEPTH`` a large node
+branches twice, and a link at 0.75 is kept with probability 0.89 in each tree that it reached; below,
+it branches 4/3 times on average, which keeps one path of such a link on average, so that the work
+stays far below the square of a node: the link is kept with 0.77 after eight more levels, 0.64 after
+sixteen, 0.41 after forty.  Ten trees then find it with 0.9998, 0.998 and 0.975, closer links more often.  A
+node whose members agree in all ``POSITIONS`` tokens is one family and is cut like those of the first
+pass.  A sketch loses a link at 0.75 with probability 1e-6.
+
+Nodes and blocks are bounded in members and in the shingles that these hold together.
 """
 
 from __future__ import annotations
@@ -34,8 +40,10 @@ PERCENT = 75
 TREES, FIRST_TREES = 12, 2
 POSITIONS = 64
 BRANCHES = 2
-DEPTH = 10
+DEPTH = 4
 NODE = 1024
+#: shingles that the members of a node or block may hold together, unless they are few: 32 MB
+MOST_SHINGLES = 4_000_000
 LEADERS = 16
 #: rows of three numbers that may be broadcast, about 10 MB
 BROADCAST_ROWS = 300_000
@@ -241,10 +249,15 @@ def _root(tree: int) -> F.Column:
     return F.xxhash64(F.lit(tree), _token(F.lit(tree)))
 
 
-def _first_blocks(at: DataFrame, node: int) -> DataFrame:
-    """Blocks of the nodes of ``at`` (node, id, ...): a large node is cut by a hash, and some random members are in each part."""
-    many = materialise(at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-    k = F.ceil(F.col("n") / node).cast("int")
+def _parts(n: F.Column, weight: F.Column, node: int, most: int) -> F.Column:
+    """Into how many parts a node of ``n`` members goes; a part holds ``LEADERS`` members at least."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / LEADERS), F.greatest(F.ceil(n / node), F.ceil(weight / most)))).cast("int")
+
+
+def _first_blocks(at: DataFrame, node: int, most: int) -> DataFrame:
+    """Blocks of the nodes of ``at`` (node, id, n_shingles, ...): a large node is cut by a hash, and some random members are in each part."""
+    many = materialise(at.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1"), "nodes")
+    k = _parts(F.col("n"), F.col("weight"), node, most)
     mine = F.pmod(F.xxhash64("id"), k).cast("int")
     leader = F.pmod(F.xxhash64(F.lit(3), "node", "id"), F.ceil(F.col("n") / LEADERS)) == 0
     part = F.when(k == 1, F.array(F.lit(0))).when(leader, F.sequence(F.lit(0), k - 1)).otherwise(F.array(mine))
@@ -252,46 +265,75 @@ def _first_blocks(at: DataFrame, node: int) -> DataFrame:
 
 
 def _mixed(at: DataFrame) -> DataFrame:
-    """The rows of nodes with more than one component, with the node's size, largest component and its size."""
-    by = at.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("n"), F.max_by("comp", "m").alias("most"), F.max("m").alias("top")).where("n > top")
+    """The rows of nodes with more than one component, with the node's size, largest component and its size, and their shingles."""
+    own = at.groupBy("node", "comp").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+    largest = F.max(F.struct("m", "comp", "w"))
+    by = own.groupBy("node").agg(F.sum("m").alias("n"), F.sum("w").alias("weight"), largest.alias("x")).select("node", "n", "weight", F.col("x.comp").alias("most"), F.col("x.m").alias("top"), F.col("x.w").alias("top_weight")).where("n > top")
     return at.join(materialise(by, "nodes"), "node")  # read anew, so that the join can split a large node
 
 
-def _later_blocks(known: DataFrame, trees: range, node: int, branches: int, depth: int) -> Iterator[DataFrame]:
+def _children(level: int, branches: int, depth: int) -> F.Column:
+    """Nodes below a node, each by a token at a position that its path has not used: ``branches`` of them down to ``depth``, then one or two."""
+    free = F.array_except(F.array(*map(F.lit, range(POSITIONS))), F.col("used"))
+    many = F.size(free)
+    first = F.pmod(F.xxhash64("node"), many)
+
+    def child(b: int) -> F.Column:
+        # distinct as long as there are enough
+        at = F.get(free, F.pmod(first + b, many).cast("int"))
+        return F.struct(F.xxhash64("node", F.lit(b), at, _token(at)).alias("node"), F.concat("used", F.array(at)).alias("used"))
+
+    two = F.array(*[child(b) for b in range(branches)])
+    if level < depth:
+        return two
+    return F.when(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(3)) == 0, two).otherwise(F.array(child(0)))
+
+
+def _later_blocks(known: DataFrame, trees: range, node: int, branches: int, depth: int, most: int) -> Iterator[DataFrame]:
     """Blocks of mixed nodes, level by level.  Tokens and sketches join only the rows of mixed nodes."""
-    roots = known.select("id", "comp", F.explode(F.array(*[_root(t) for t in trees])).alias("node"))
+    tree = lambda t: F.struct(_root(t).alias("node"), F.array(F.lit(t)).alias("used"))
+    roots = known.select("id", "comp", "n_shingles", F.explode(F.array(*[tree(t) for t in trees])).alias("at")).select("id", "comp", "n_shingles", "at.node", "at.used")
     slim = materialise(_mixed(roots), "mixed")
     mixed = materialise(slim.join(known.select("id", "tokens", "s0", "s1", "s2", "s3"), "id"), "mixed")
-    for level in range(depth + 1):
-        few = F.col("n") - F.col("top")
-        small, dense = F.col("n") <= node, few <= node // 2
-        k = F.ceil(F.col("n") / (node // 2)).cast("int")
+    for level in range(POSITIONS):
+        n, weight = F.col("n"), F.col("weight")
+        small = (n <= node) & ((weight <= most) | (n <= LEADERS))
+        dense = (n - F.col("top") <= node // 2) & (weight - F.col("top_weight") <= most // 2)
+        k = F.greatest(F.ceil(n / (node // 2)), F.ceil(weight / (most // 2))).cast("int")
         mine = F.pmod(F.xxhash64("id"), k).cast("int")
         everywhere = F.sequence(F.lit(0), k - 1)
         whole = mixed.where(small | dense)
         part = F.when(small, F.array(F.lit(0))).when(F.col("comp") != F.col("most"), everywhere).otherwise(F.array(mine))
         yield whole.withColumn("part", F.explode(part)).withColumn("block", F.xxhash64("node", "part"))
         large = mixed.where(~small & ~dense)
-        if level == depth:
-            pairs = F.transform(everywhere, lambda j: F.xxhash64("node", F.least(mine, j), F.greatest(mine, j)))
-            yield large.withColumn("block", F.explode(pairs))
-            return
         if not large.limit(1).count():
             return
-        child = lambda b: F.xxhash64("node", F.lit(b), _token(F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int")))
-        at = large.select("id", "comp", "tokens", "s0", "s1", "s2", "s3", F.explode(F.array(*[child(b) for b in range(branches)])).alias("node"))
+        columns = ["id", "comp", "n_shingles", "tokens", "s0", "s1", "s2", "s3"]
+        if level == POSITIONS - 1:  # all tokens agree
+            yield _first_blocks(large.select("node", *columns), node, most)
+            return
+        at = large.select(*columns, F.explode(_children(level, branches, depth)).alias("at")).select(*columns, "at.node", "at.used")
         mixed = materialise(_mixed(at), "mixed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, first_trees: int = FIRST_TREES, node: int = NODE, branches: int = BRANCHES, depth: int = DEPTH, least_equal: int = LEAST_EQUAL) -> DataFrame:
+def _links_of_ids(several: DataFrame, with_set: DataFrame, copies: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of the sets that one id has, of ids with ``several``."""
+    key = ["f1", "f2", "n_shingles"]
+    own = with_set.select("id", *key).join(several, "id", "left_semi").distinct().join(copies, key).join(known.select(F.col("id").alias("rep"), "comp"), "rep")
+    own = materialise(own.select("id", "comp").distinct(), "own")
+    least = materialise(own.groupBy("id").agg(F.min("comp").alias("a")), "least")
+    return own.join(least, "id").where("a <> comp").select("a", F.col("comp").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, first_trees: int = FIRST_TREES, node: int = NODE, branches: int = BRANCHES, depth: int = DEPTH, least_equal: int = LEAST_EQUAL, most: int = MOST_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     Two texts are linked if 100 * intersection >= ``percent`` * union of their shingle sets; a
     component's name is its smallest id and only that row is kept.  Texts without words (null, empty,
     white space) are linked with nothing.  A row without an id is linked with nothing: its component
-    is null and it is kept.  Rows that repeat an id and text are copies of each other; of different texts
-    that share an id, each has the component of its own set.  An empty table gives an empty table;
-    other columns are not read.
+    is null and it is kept.  Ids are integers, and an id is one document: rows that share one are
+    linked, whatever their texts, and have one component.  An empty table gives an empty table; other
+    columns are not read.
     """
     sig = materialise(signatures(docs, id_col, text_col), "signatures")
     sketches = ["s0", "s1", "s2", "s3"]
@@ -300,17 +342,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = copies.select("f1", "f2", "n_shingles", F.col("rep").alias("id"))
     key = ["id", "f1", "f2", "n_shingles"]
 
+    # of several texts under one id, each is a member
     roots = with_set.select(*key, *sketches, F.array(*[_root(t) for t in range(first_trees)]).alias("nodes")).join(one, key, "left_semi")
-    at = roots.select("id", F.col("id").alias("comp"), *sketches, F.explode("nodes").alias("node"))
-    close = _close(_first_blocks(materialise(at, "roots"), node), least_equal)
+    at = roots.select("id", "n_shingles", F.col("id").alias("comp"), *sketches, F.explode("nodes").alias("node"))
+    close = _close(_first_blocks(materialise(at, "roots"), node, most), least_equal)
     first = connected_components(_compare(close, docs, id_col, text_col, percent))
     known = with_set.select(*key, "tokens", *sketches).join(one, key, "left_semi").join(first.withColumnRenamed("v", "id"), "id", "left")
-    known = materialise(known.select("id", "tokens", *sketches, F.coalesce("component", "id").alias("comp")), "known")
-    blocks = [b.select("block", "id", "comp", *sketches) for b in _later_blocks(known, range(first_trees, trees), node, branches, depth)]
+    known = materialise(known.select("id", "n_shingles", "tokens", *sketches, F.coalesce("component", "id").alias("comp")), "known")
+    blocks = [b.select("block", "id", "comp", *sketches) for b in _later_blocks(known, range(first_trees, trees), node, branches, depth, most)]
     rest = blocks[0]
     for b in blocks[1:]:
         rest = rest.union(b)
-    second = connected_components(_compare(_close(rest, least_equal), docs, id_col, text_col, percent))
+    links = _compare(_close(rest, least_equal), docs, id_col, text_col, percent)
+    several = with_set.groupBy("id").agg(F.min(F.struct("f1", "f2", "n_shingles")).alias("a"), F.max(F.struct("f1", "f2", "n_shingles")).alias("b")).where("a <> b").select("id")
+    several = materialise(several, "several")
+    if several.limit(1).count():
+        links = links.union(_links_of_ids(several, with_set, copies, known))
+    second = connected_components(links)
 
     final = known.select(F.col("id").alias("rep"), "comp").join(second.select(F.col("v").alias("comp"), "component"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component_id")).distinct()
     named = copies.join(final, "rep", "left").select("f1", "f2", "n_shingles", "component_id")

@@ -46,13 +46,22 @@ KINDS = [
 BASE = ("email", "ip", "card", "phone")
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all elements before each one; blocks keep the cost near linear in their number."""
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often ``body`` looks at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, first: int, op) -> Column:
+    """``first`` and all values before each one, put together by ``op``; blocks keep the cost near linear in their number."""
+    return _let(values, lambda v: _running_of(v, first, op))
+
+
+def _running_of(values: Column, first: int, op) -> Column:
+    zero, none = F.lit(first).cast("bigint"), F.array().cast("array<bigint>")
     start = lambda at: F.struct(at.alias("s"), none.alias("a"))
-    step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
-    parts = F.when(F.size(lengths) == 0, F.array().cast("array<array<bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    sums = F.transform(parts, lambda x: F.aggregate(x, zero, lambda a, y: a + y))
+    step = lambda acc, x: F.struct(op(acc["s"], x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a"))
+    parts = F.when(F.size(values) == 0, F.array().cast("array<array<bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+    sums = F.transform(parts, lambda x: F.aggregate(x, zero, op))
     before = F.aggregate(sums, start(zero), step)["a"]
     return F.flatten(F.zip_with(parts, before, lambda x, o: F.aggregate(x, start(o), step)["a"]))
 
@@ -99,7 +108,13 @@ def _needed(kind: str, text: Column) -> Column:
 
 def _spans(kind: Kind, text: Column) -> Column:
     """All confirmed spans of one kind: array of (start, rank, kind, end, score), by start."""
-    found, around = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
+    matches = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found"), F.split(text, kind.pattern, -1).alias("around"))
+    return F.when(_needed(kind.name, text), _let(matches, lambda m: _confirmed(kind, m["found"], m["around"]))).otherwise(none)
+
+
+def _confirmed(kind: Kind, found: Column, around: Column) -> Column:
+    """Spans of the matches ``found``, with the text ``around`` them, that pass their checks."""
     rank = [k.name for k in KINDS].index(kind.name)
     steps = F.zip_with(found, F.slice(around, F.lit(1), F.size(found)), lambda m, p: (F.length(m) + F.length(p)).cast("long"))
 
@@ -109,10 +124,8 @@ def _spans(kind: Kind, text: Column) -> Column:
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(before.rlike(kind.words), 0.3).when(after.rlike(kind.words), 0.1).otherwise(0.0))
         return F.struct(first.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (first + F.length(m)).alias("end"), score.alias("score"), _valid(kind.name, m).alias("ok"))
 
-    every = F.filter(F.transform(_running(steps), span), lambda s: s["ok"] & (s["score"] >= kind.least))
-    plain = F.transform(every, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "kind", "end", "score")]))
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double>>")
-    return F.when(_needed(kind.name, text) & (F.size(found) > 0), plain).otherwise(none)
+    every = F.filter(F.transform(_running(steps, 0, lambda a, y: a + y), span), lambda s: s["ok"] & (s["score"] >= kind.least))
+    return F.transform(every, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "kind", "end", "score")]))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
@@ -130,11 +143,21 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text", out_col: str = "redacted") -> DataFrame:
-    """``docs`` with every match of the four base kinds in ``text_col`` replaced by its kind in brackets, checks aside."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    for k in (x for x in KINDS if x.name in BASE):
-        text = F.regexp_replace(text, k.pattern, f"[{k.name}]")
-    return docs.withColumn(out_col, text)
+    """``docs`` with ``out_col``: the text with every span of ``find_pii``, of whatever kind, replaced by its kind in brackets.
+
+    Only confirmed spans go, so numbers, dates and versions stay.  Spans that overlap are one, under
+    the kind of the first.  A null text is empty.  Other columns pass; one called ``out_col`` is replaced.
+    """
+    spans, text = F.col("__spans"), F.coalesce(F.col("__text"), F.lit(""))
+    reach = _running(F.transform(spans, lambda s: s["end"]), 0, lambda a, y: F.greatest(a, y))  # where all spans before each one end
+    firsts = F.filter(F.zip_with(spans, reach, lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("before"))), lambda x: x["start"] >= x["before"])
+    between = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.transform(firsts, lambda x: F.concat(between(x["before"], x["start"]), F.lit("["), x["kind"], F.lit("]")))
+    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    made = F.concat(F.array_join(pieces, ""), F.substr(text, (last + 1).cast("int")))
+    passed = [c for c in docs.columns if c != out_col]
+    found = find_pii(docs.select(*[docs[c].alias(f"p{i}") for i, c in enumerate(passed)], docs[text_col].alias("__text")), "__text", "__spans")
+    return found.select(*[f"p{i}" for i in range(len(passed))], F.when(F.size(spans) == 0, text).otherwise(made).alias("__made")).toDF(*passed, out_col)
 
 
 def span_text(spans: Column) -> Column:

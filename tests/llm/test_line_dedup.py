@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from compactcodec.llm.line_dedup import dedup_lines
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -50,6 +52,9 @@ def test_empty_table_and_extra_columns(spark):
     assert dedup_lines(df.limit(0)).count() == 0
     row = dedup_lines(df).first()
     assert row["kept_text"] == "a" and row["n_lines"] == 1
+    names = ["__id", "__of", "__pos", "__lines", "id", "pos", "h1", "key"]
+    odd = df.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    assert [dedup_lines(odd).first()[c] for c in names] == list(range(len(names)))
 
 
 def test_digest_of_a_document(spark, small):

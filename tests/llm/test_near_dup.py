@@ -69,6 +69,23 @@ def test_tiny_nodes_force_blocks_and_branches(spark):
     assert found == want
 
 
+def test_deep_branches_and_small_blocks(spark):
+    """Nodes of a few members, so that paths use many positions, and blocks bounded by their shingles."""
+    rows = corpus()
+    assert run(spark, rows, node=4, depth=1, most=400) == brute(rows)
+    passage = " ".join(f"s{k}" for k in range(70))
+    alike = [(i, passage + " " + " ".join(f"p{i}.{k}" for k in range(30))) for i in range(120)] + [(500, passage + " " + " ".join(f"p7.{k}" for k in range(29)))]
+    found = run(spark, alike, node=32, depth=2)
+    assert found[500][1] == 7 and sum(not r[2] for r in found.values()) == 1
+
+
+def test_an_id_is_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a + " tail"), (5, a), (5, b), (9, b + " tail"), (2, " ".join(f"c{i}" for i in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in nd.near_duplicates(df).collect()) == [(2, 2), (3, 3), (5, 3), (5, 3), (9, 3)]
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as kept")

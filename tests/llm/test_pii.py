@@ -85,9 +85,35 @@ def test_empty_table_extra_columns_and_redaction(spark):
     assert row["extra"] == "keep" and len(row["pii"]) == 1
     assert pii.find_pii(df.limit(0)).count() == 0
     assert pii.redact(df).first()["redacted"] == "x [email]"
+    assert pii.redact(df).columns == [*df.columns, "redacted"]
     assert pii.find_pii(df.union(df)).count() == 2
 
 
+def test_redaction_takes_confirmed_spans_only(spark):
+    cases = {
+        "In 1984, 25 people paid 300 dollars, version 10.20.30.400": "In 1984, 25 people paid 300 dollars, version 10.20.30.400",
+        "IBAN DE89 3704 0044 0532 0130 00.": "IBAN [iban].", "my social security number 123-45-6789": "my social security number [ssn]",
+        "é🎉 a@b.co 🎉 8.8.8.8": "é🎉 [email] 🎉 [ip]", "4111 1111 1111 1111": "[card]", "a@8.8.8.8 x": "[email] x", "": "",
+    }
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(cases)] + [(99, None, "k")], "i int, text string, redacted string")
+    found = {r["i"]: r["redacted"] for r in pii.redact(df).collect()}
+    assert [found[i] for i in range(len(cases))] == list(cases.values()) and found[99] == ""
+
+
+def test_redaction_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a@b.co", " ", "8.8.8.8", "4111111111111111", "+123456789012", "word", "é", ","]) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["a@b.co, 8.8.8.8; " * 2000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["pii"]] for r in pii.find_pii(df).collect()}
+    for r in pii.redact(df).collect():
+        out, at = "", 0
+        for start, end, kind in spans[r["doc_id"]]:
+            if start >= at:
+                out += r["text"][at:start] + f"[{kind}]"
+            at = max(at, end)
+        assert r["redacted"] == out + r["text"][at:]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = pii.find_pii(df).select(F.size("pii"))._jdf.queryExecution().executedPlan().toString()
