@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages: quality rules, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs``; between stages the rows
-are written as Parquet and read again.  All but the last return the columns of ``documents``.
+are written as Parquet and read again, and what the stage before wrote is deleted.  All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from compactcodec.llm import decontaminate, line_dedup, near_dup, packing, quality_rules
 from compactcodec.llm.common import materialise, table
 from compactcodec.llm.queries import tokenizer_path
+from compactcodec.scratch import release, scratch_paths
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: ids that may be broadcast, 8 MB
@@ -34,14 +35,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; a repeated row stays once.
 
-    The ids to drop are sent to the texts if they are few; more of them meet the texts in a shuffle.
+    An id is one document: where it goes, all its rows go.  Rows that repeat id and text keep the least
+    of their other columns.  The ids to drop are sent to the texts if they are few; more of them meet
+    the texts in a shuffle.
     """
     found = materialise(near_dup.near_duplicates(docs), "components")
     dropped = materialise(found.where("not kept").select("doc_id").distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
     kept = docs.select(*COLUMNS).join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+        rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+        once = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*")
+        kept = kept.where("doc_id is null").union(once)
     return kept
 
 
@@ -63,9 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), scratch_paths()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage{k}")
+            release(spark, [p for p in scratch_paths()[:-1] if p not in before])
     return docs
