@@ -27,14 +27,16 @@ def reach(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is chosen and set.
-    It goes when the JVM ends.
+    Only where the session names none and runs on one machine a temporary folder is chosen and set; on
+    a cluster that is an error.  It goes when the JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jvm_dir.get() if jvm_dir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -45,9 +47,26 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/(?!/)", "file:///", fs.makeQualified(hadoop).toString())
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def scratch_paths() -> list[str]:
+    """The paths given out and not released, in order."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what lies at scratch paths that no frame reads any more."""
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _MADE.remove(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
