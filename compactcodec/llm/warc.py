@@ -155,15 +155,35 @@ def read_records(source) -> Iterator[tuple[str, dict[str, str], bytes, bool]]:
 RECORDS = "number long, type string, url string, date string, headers map<string,string>, content binary, complete boolean"
 
 
-def _batch(file: str, number: int, kind: str, headers: dict[str, str], content: bytes, whole: bool) -> pa.RecordBatch:
-    texts = [pa.array([x], pa.string()) for x in (kind, headers.get("warc-target-uri"), headers.get("warc-date"))]
-    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), *texts, pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([content], pa.binary()), pa.array([whole])], ["file", "number", "type", "url", "date", "headers", "content", "complete"])
+_FIELDS = ["number", "type", "url", "date", "headers", "content", "complete"]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.bool_()]
+#: records and bytes that leave a task together
+MOST_RECORDS, MOST_BYTES = 1024, 8 << 20
+
+
+def _batches(source, files: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of a file's bytes or stream, as bounded batches."""
+    rows, held = [], 0
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+        names = [pa.array([files] * len(rows), pa.string())] if files is not None else []
+        return pa.RecordBatch.from_arrays(names + columns, ["file"] * len(names) + _FIELDS)
+
+    for number, (kind, headers, content, whole) in enumerate(read_records(source)):
+        rows.append((number, kind, headers.get("warc-target-uri"), headers.get("warc-date"), list(headers.items()), content, whole))
+        held += len(content)
+        if len(rows) >= MOST_RECORDS or held >= MOST_BYTES:
+            yield made()
+            rows, held = [], 0
+    if rows:
+        yield made()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: file, number, type, url, date, headers, content, complete.
 
-    Spark lists the files; a task streams each of its files and holds one record at a time.
+    Spark lists the files; a task streams each of its files and holds few records at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +193,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for file in batch.column(0).to_pylist():
                 system, name = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
                 with system.open_input_stream(name, compression=None) as source:
-                    for number, record in enumerate(read_records(source)):
-                        yield _batch(file, number, *record)
+                    yield from _batches(source, file)
 
     files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInArrow(run, f"file string, {RECORDS}")
@@ -185,10 +204,9 @@ def read_archives(archives: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_batch("", number, *record) for raw in batch.column(0) if raw.is_valid for number, record in enumerate(read_records(raw.as_py()))]
-            if made:
-                table = pa.Table.from_batches(made).drop_columns("file").combine_chunks()
-                yield from table.to_batches()
+            for raw in batch.column(0):
+                if raw.is_valid:
+                    yield from _batches(raw.as_py())
 
     return archives.select(column).mapInArrow(run, RECORDS)
 
