@@ -277,8 +277,14 @@ def main_text(page: str | None, weights: dict[str, dict[str, float]]) -> str:
 
 def labelled_sample(pages: DataFrame, html_col: str = "html", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[str]:
     """``most`` pages of at most ``most_bytes`` that mark their article, the first by a hash; they alone reach the driver."""
-    marked = pages.select(F.col(html_col).alias("html")).where((F.octet_length("html") <= most_bytes) & F.col("html").rlike("(?i)<(?:article|main)[ >]"))
-    return [r[0] for r in marked.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    small = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where(F.octet_length(html_col) <= most_bytes)
+    mark = F.col("html").rlike("(?i)<(?:article|main)[ >]")
+    # hashes alone find the last of them, so that no task sends pages that others push out
+    first = [r["h"] for r in small.where(mark).select("h").orderBy("h").limit(most).collect()]
+    if not first:
+        return []
+    chosen = small.where((F.col("h") <= first[-1]) & mark).groupBy("h").agg(F.first("html").alias("html"))
+    return [r["html"] for r in chosen.orderBy("h").collect()]
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", weights: dict | None = None) -> DataFrame:
