@@ -80,16 +80,20 @@ def resolve_revisits(captures: DataFrame, span: int = SPAN) -> DataFrame:
     and has no body.  Null URLs and times match nothing.  Repeated rows give repeated results, and
     revisits that share a record_id are resolved each by its own URL and time.
 
-    Answers and stored responses are written before they are joined, so that the join can split a page
-    that is revisited very often.
+    Answers are written before they are joined, and so are stored responses where several bear one
+    name and have to be made one, so that the join can split a page that is revisited very often.
     """
     names = ["record_id", "url", "at", "etag", "last_modified", "headers"]
     rows = captures.select(*names, "kind", "body", canonical_url(F.col("url")).alias("key")).where(F.col("kind").isin("response", "revisit"))
     timed = rows.where("key is not null and at is not null")
     answers = materialise(latest_before(timed.select("key", "at", "kind", "record_id"), span).where("hit is not null"), "answers")
-    first = F.struct(F.coalesce("etag", F.lit("")), F.coalesce("last_modified", F.lit("")), F.coalesce("body", F.lit("")))
-    stored = timed.where("kind = 'response'").groupBy(F.col("key").alias("hit_key"), F.col("at").alias("hit_at"), F.col("record_id").alias("hit_id"))
-    stored = materialise(stored.agg(F.max_by(F.struct("etag", "last_modified", "headers", "body"), first).alias("stored")), "stored")
+    name = [F.col("key").alias("hit_key"), F.col("at").alias("hit_at"), F.col("record_id").alias("hit_id")]
+    value = F.struct("etag", "last_modified", "headers", "body")
+    full = timed.where("kind = 'response'")
+    stored = full.select(*name, value.alias("stored"))
+    if full.groupBy("key", "at", "record_id").count().where("count > 1").limit(1).count():
+        first = F.struct(F.coalesce("etag", F.lit("")), F.coalesce("last_modified", F.lit("")), F.coalesce("body", F.lit("")))
+        stored = materialise(full.groupBy(*name).agg(F.max_by(value, first).alias("stored")), "stored")
     fresh = rows.where("kind = 'revisit'").select("key", *names)
     # what has no URL or time is dealt by its own id, not all to one task
     dealt = fresh.withColumn("key", F.coalesce("key", F.concat(F.lit("none "), F.col("record_id").cast("string"))))
