@@ -61,7 +61,7 @@ def _encode_rows(name: str, delimiter: str = ",") -> Callable:
     keys = list(GROUPS[name])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tabular.encode_rows(table(spark, sf_dir, name), delimiter=delimiter, keep=keys)
+        return tabular.encode_rows(table(spark, sf_dir, name), delimiter=delimiter, keep=keys, fixed_point=True)
 
     return run
 
@@ -72,7 +72,7 @@ def _roundtrip(name: str) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, name)
         body = df.select(*[c for c in df.columns if c != by]).schema
-        docs = tabular.encode_groups(df, [by], [order], key=name)
+        docs = tabular.encode_groups(df, [by], [order], key=name, fixed_point=True)
         return tabular.decode_tables(docs, "document", body, keep=[by]).select(*df.columns)
 
     return run
@@ -100,6 +100,46 @@ def tabular_document_length_marker(spark, sf_dir):
     return tabular.encode_table(table(spark, sf_dir, "region"), ["r_regionkey"], None, delimiter="|", length_marker="#", indent=4)
 
 
+@query("tabular_embeddings", "select vec_id, 'embedding[' || len(embedding) || ']: ' || 'same' as line, embedding[1] as first from embeddings")
+def tabular_embeddings(spark, sf_dir):
+    """Any double: a vector as an inline array, and its first number as a cell, read back."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("embedding")[0].alias("first"))
+    rows = tabular.encode_rows(df.select("vec_id", "first"), keep=["vec_id"]).withColumnRenamed("line", "row")
+    lines = df.select("vec_id", inline_array("embedding", F.col("embedding"), T.FloatType()).alias("line"))
+    values = F.transform(C.split_cells(F.substring_index("line", "]: ", -1)), lambda x: C.parse_cell(x, T.FloatType()))
+    same = F.when(values == F.col("embedding"), F.concat(F.substring_index("line", "]: ", 1), F.lit("]: same"))).otherwise(F.col("line"))
+    found = lines.join(df, "vec_id").join(rows, "vec_id")
+    return found.select("vec_id", same.alias("line"), C.parse_cell(C.split_cells(F.col("row"))[1], T.FloatType()).alias("first"))
+
+
+def _foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders a customer as another writer lays them out: other columns first, pipes, a comment, quoted names, a field behind the table."""
+    line = F.concat(F.lit("  "), F.concat_ws("|", F.lit("x"), C.quote_text(F.col("o_orderpriority"), "|"), F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string")))
+    docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    head = F.concat(F.lit("# by another writer\norders["), F.col("n").cast("string"), F.lit('|]{more|"o_\\u006frderpriority"|t{o_totalprice}|o_orderkey}:\n'))
+    return docs.select("o_custkey", F.concat(head, "body", F.lit("\nafter: 1")).alias("document"))
+
+
+@query("tabular_foreign_header", "select o_custkey, o_orderkey, o_totalprice as total, o_orderpriority, cast(null as varchar) as missing from orders")
+def tabular_foreign_header(spark, sf_dir):
+    """The header's names, groups and delimiter decide where a column stands."""
+    kind = T._parse_datatype_string("o_orderkey long, missing string, o_orderpriority string, t struct<o_totalprice:double>")
+    return tabular.decode_tables(_foreign(spark, sf_dir), "document", kind, ["o_custkey"], "FAILFAST").select("o_custkey", "o_orderkey", F.col("t.o_totalprice").alias("total"), "o_orderpriority", "missing")
+
+
+@query("tabular_wrong_counts", "with c as (select o_custkey, count(*) as n from orders group by 1) select o_custkey, case when o_custkey % 3 = 0 then 0 else n end as strict, case when o_custkey % 3 = 0 then n - 1 else n end as permissive from c")
+def tabular_wrong_counts(spark, sf_dir):
+    """Every third document declares a row too few: left out, or read up to that number."""
+    docs = _foreign(spark, sf_dir)
+    n = F.regexp_extract("document", r"orders\[([0-9]+)", 1)
+    wrong = F.regexp_replace("document", F.lit(r"orders\[[0-9]+"), F.concat(F.lit("orders["), (n.cast("int") - 1).cast("string")))
+    docs = docs.select("o_custkey", F.when(F.col("o_custkey") % 3 == 0, wrong).otherwise(F.col("document")).alias("document"))
+    count = lambda mode: tabular.decode_tables(docs, "document", T._parse_datatype_string("o_orderkey long"), ["o_custkey"], mode).groupBy("o_custkey").agg(F.count("*").alias(mode))
+    found = docs.join(count("DROPMALFORMED"), "o_custkey", "left").join(count("PERMISSIVE"), "o_custkey", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return found.select("o_custkey", zero("DROPMALFORMED").alias("strict"), zero("PERMISSIVE").alias("permissive"))
+
+
 @query("tabular_nested_group", f"""select c_nationkey, 'customers[' || count(*) || ']{{c_custkey,nation{{name,region}},c_acctbal}}:' || chr(10) ||
   string_agg('  ' || {S.row({'c_custkey': 'int', 'n_name': 'text', 'n_regionkey': 'int', 'c_acctbal': 'double'})}, chr(10) order by c_custkey) as document
   from customer join nation on c_nationkey = n_nationkey group by c_nationkey""")
@@ -157,14 +197,14 @@ def decode_objects_orders(spark, sf_dir):
 def encode_objects_native(spark, sf_dir):
     """The same documents from generated code alone."""
     record = table(spark, sf_dir, "orders").select("o_orderkey", _order_record().alias("v"))
-    return record.select("o_orderkey", C.object_text(record.schema["v"].dataType, F.col("v")).alias("document"))
+    return record.select("o_orderkey", C.object_text(record.schema["v"].dataType, F.col("v"), fixed_point=True).alias("document"))
 
 
 @query("flat_objects_native", "select o_orderkey as id, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
 def flat_objects_native(spark, sf_dir):
     """Flat records as documents and back, from generated code alone."""
     df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return df.select(C.object_text(df.schema).alias("d")).select(*C.parse_object(F.col("d"), df.schema))
+    return df.select(C.object_text(df.schema, fixed_point=True).alias("d")).select(*C.parse_object(F.col("d"), df.schema))
 
 
 @query("list_form_mixed", f"select n_nationkey, '[3]:' || chr(10) || '  - ' || {S.quoted('n_name')} || chr(10) || '  - id: ' || n_nationkey || chr(10) || '    region: ' || n_regionkey || chr(10) || '  - [2]: 1,' || n_regionkey as document from nation")
@@ -186,25 +226,34 @@ def infer_schema_orders(spark, sf_dir):
     return spark.createDataFrame([(kind.simpleString(),)], "kind string")
 
 
-BROKEN = [
-    ("width", "items[2]{id,name}:\n  1,Ada\n  2", False, True),
-    ("count", "tags[3]: a,b", False, True),
-    ("blank", "items[2]{id}:\n  1\n\n  2", False, True),
-    ("repeat", "name: Ada\nname: Bob", False, True),
-    ("jump", "a:\n    b: 1", False, False),
-    ("escape", 'a: "x\\q"', False, False),
-    ("open", 'a: "x', False, False),
-    ("tab", "a:\n\tb: 1", False, True),
-    ("header", "foo[bar]: 10", False, True),
-    ("good", "a: 1\nb[2]: x,y", True, True),
-    ("empty", "", True, True),
+#: rules of the notation, a document that breaks each (made of a customer's row), and whether a strict and a lenient reader take it
+RULES = [
+    ("row of another width", "who[2]{{k,n}}:\n  {k},{n}\n  {k}", False, True),
+    ("more values than declared", "ids[1]: {k},{k}", False, True),
+    ("blank line between items", "who[2]:\n  - {k}\n\n  - {n}", False, True),
+    ("a key twice", "k: {k}\nk: {n}", False, True),
+    ("a level left out", "who:\n    k: {k}", False, False),
+    ("unknown escape", 'n: "{n}\\z"', False, False),
+    ("string without end", 'n: "{n}', False, False),
+    ("tab as indentation", "who:\n\tk: {k}", False, True),
+    ("length that is none", "ids[k]: {k}", False, True),
+    ("sound", "k: {k}\nboth[2]: {k},{n}", True, True),
+    ("a comment alone", "# {n}", True, True),
 ]
 
 
-@query("strict_validation_report", "select * from (values " + ", ".join(f"('{n}', {str(s).lower()}, {str(x).lower()})" for n, _, s, x in BROKEN) + ") as t(name, strict, lenient)")
+@query("strict_validation_report", "select c_custkey, name, strict, lenient from customer, (values " + ", ".join(f"('{n}', {str(s).lower()}, {str(x).lower()})" for n, _, s, x in RULES) + ") as t(name, strict, lenient)")
 def strict_validation_report(spark, sf_dir):
-    docs = spark.createDataFrame([(n, d) for n, d, _, _ in BROKEN], "name string, document string")
-    return docs.select("name", C.is_valid_ctext(F.col("document")).alias("strict"), C.is_valid_ctext(F.col("document"), strict=False).alias("lenient"))
+    """Each rule, tried on a document of every customer."""
+    def document(form: str) -> Column:
+        key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+        parts = [x for p in form.replace("{{", "\x01").replace("}}", "\x02").split("{k}") for x in (F.lit("\x03"), p)][1:]
+        made = F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+        return F.replace(F.replace(F.replace(F.replace(made, F.lit("\x03"), key), F.lit("{n}"), name), F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
+
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), document(d).alias("document")) for n, d, _, _ in RULES]))
+    docs = table(spark, sf_dir, "customer").select("c_custkey", rows.alias("r")).select("c_custkey", "r.*")
+    return docs.select("c_custkey", "name", C.is_valid_ctext(F.col("document")).alias("strict"), C.is_valid_ctext(F.col("document"), strict=False).alias("lenient"))
 
 
 # ---------------------------------------------------------------- scalars
@@ -226,26 +275,32 @@ def key_predicate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.quote_key_text(F.col("p_name")).alias("key"))
 
 
-WORDS = ["05", "-1E+03", "1.5000", "+1", ".5", "1.", "0x10", "1_000", "NaN", "true", "null", "-0", "2.5e2", "", "a b", "007", "1e-7", "- x"]
+_NUMERIC_FORMS = ["{}", "0{}", "+{}", "{}.", ".{}", "{}.50", "-{}e1", "1e-{}", "{}_0", "0x{}"]
+_LITERAL_RX = "^-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
-@query("numeric_tokens", "select w as word, regexp_matches(w, '^[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$') as number_like, try_cast(case when regexp_matches(w, '^-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?$') then w end as double) as number from (values " + ", ".join(f"('{w}')" for w in WORDS) + ") as t(w)")
+@query("numeric_tokens", "with w as (select p_partkey, unnest([" + ", ".join("'" + f.replace("{}", "' || (p_size % 30) || '") + "'" for f in _NUMERIC_FORMS) + f"]) as word from part) select p_partkey, word, regexp_matches(word, '^[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$') as number_like, try_cast(case when regexp_matches(word, '{_LITERAL_RX}') then word end as double) as number from w")
 def numeric_tokens(spark, sf_dir):
+    """What looks like a number, and what is one, over all parts' sizes in ten notations."""
     from compactcodec.kernel.scalars import NUMERIC_LIKE
 
-    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    return words.select("word", F.col("word").rlike(NUMERIC_LIKE).alias("number_like"), C.parse_cell(F.col("word"), T.DoubleType()).alias("number"))
+    size = (F.col("p_size") % 30).cast("string")
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.concat(F.lit(f.split("{}")[0]), size, F.lit(f.split("{}")[1])) for f in _NUMERIC_FORMS])).alias("word"))
+    return words.select("p_partkey", "word", F.col("word").rlike(NUMERIC_LIKE).alias("number_like"), C.parse_cell(F.col("word"), T.DoubleType()).alias("number"))
 
 
 @query("canonical_number_lineitem", f"select l_orderkey, l_linenumber, {S.number('l_extendedprice')} as price, {S.number('l_discount')} as discount from lineitem")
 def canonical_number_lineitem(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.canonical_number(F.col("l_extendedprice")).alias("price"), C.number_text(F.col("l_discount"), T.DoubleType()).alias("discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.canonical_number(F.col("l_extendedprice")).alias("price"), C.number_text(F.col("l_discount"), T.DoubleType(), True).alias("discount"))
 
 
-@query("line_types", "select * from (values ('blank', '  '), ('listItem', '- a'), ('listItem', '-'), ('arrayHeader', 'a[2]: 1,2'), ('arrayHeader', 'x[1]{a,b}:'), ('keyValue', 'k: v'), ('keyValue', '\"a:b\": 1'), ('dataRow', '1,2'), ('primitive', 'word')) as t(line_type, line)")
+@query("line_types", "select doc_id, k, case k when 0 then 'listItem' when 1 then 'arrayHeader' when 2 then 'arrayHeader' when 3 then 'keyValue' when 4 then 'keyValue' when 5 then 'dataRow' when 6 then 'primitive' else 'blank' end as line_type from documents, unnest(generate_series(0, 7)) as t(k)")
 def line_types(spark, sf_dir):
-    lines = spark.createDataFrame([(x,) for x in ("  ", "- a", "-", "a[2]: 1,2", "x[1]{a,b}:", "k: v", '"a:b": 1', "1,2", "word")], "line string")
-    return lines.select("line", C.line_type(F.col("line")).alias("line_type"))
+    """Lines made of every document's columns, by their form."""
+    quoted = F.concat(F.lit('"'), C.escape_text(F.left("text", F.lit(50))), F.lit('"'))
+    forms = [F.concat(F.lit("- "), "lang"), F.concat("lang", F.lit("[2]: 1,2")), F.concat("source", F.lit("[1]{a,b}:")), F.concat("lang", F.lit(": "), quoted), F.concat(quoted, F.lit(": 1")), F.concat("lang", F.lit(","), F.col("n_chars").cast("string")), F.col("lang"), F.lit("  ")]
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(*forms)).alias("k", "line"))
+    return lines.select("doc_id", F.col("k").cast("bigint").alias("k"), C.line_type(F.col("line")).alias("line_type"))
 
 
 @query("split_cells_part", "select p_partkey, 0 as pos, cast(p_partkey as varchar) as cell from part union all select p_partkey, 1, p_name from part union all select p_partkey, 2, 'a,\"b' from part")
@@ -367,22 +422,18 @@ def schema_project(spark, sf_dir):
     return made.withColumn("capital", F.col("capital").cast("string"))
 
 
-@query("schema_matches", "select o_orderkey, true as fits, false as misfits from orders")
+@query("schema_matches", "select event_id, value is null as value_fits, props is null as props_fits from (select event_id, case when value < 50 then null else value end as value, case when event_id % 2 = 0 then props end as props from events)")
 def schema_matches(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
+    """Decided by the rows: a field of another kind than the declared one fits only where it is null."""
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") >= 50, F.col("value")).alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"))
     field = rowschema.SchemaField
-    good = rowschema.RowSchema((field("o_orderkey", "integer", True), field("o_totalprice", "number"), field("o_orderstatus", "string")))
-    return df.select("o_orderkey", good.matches_frame(df).alias("fits"), rowschema.RowSchema((field("o_orderstatus", "number"),)).matches_frame(df).alias("misfits"))
+    one = rowschema.RowSchema((field("event_id", "integer", True), field("value", "string"), field("props", "string"), field("more", "array")))
+    other = rowschema.RowSchema((field("props", "number"), field("value", "number"), field("event_id", "integer", True)))
+    return df.select("event_id", one.matches_frame(df).alias("value_fits"), other.matches_frame(df).alias("props_fits"))
 
 
-@query("encode_with_schema_nation", "select 'nation[2]{n_nationkey,n_name}:' || chr(10) || '  0,' || max(case when n_nationkey = 0 then " + S.quoted("n_name") + " end) || chr(10) || '  1,' || max(case when n_nationkey = 1 then " + S.quoted("n_name") + " end) as document from nation where n_nationkey < 2")
+@query("encode_with_schema_nation", f"select 'nation[' || count(*) || ']{{n_nationkey,n_name}}:' || chr(10) || {_lines({'n_nationkey': 'int', 'n_name': 'text'}, 'n_nationkey')} as document from nation")
 def encode_with_schema_nation(spark, sf_dir):
-    some = table(spark, sf_dir, "nation").where("n_nationkey < 2")
-    return tabular.encode_table(rowschema.RowSchema.named("n_nationkey", "n_name").project(some), ["n_nationkey"], "nation")
-
-
-@query("encode_with_schema_nations", f"select 'nation[' || count(*) || ']{{n_nationkey,n_name}}:' || chr(10) || {_lines({'n_nationkey': 'int', 'n_name': 'text'}, 'n_nationkey')} as document from nation")
-def encode_with_schema_nations(spark, sf_dir):
     return tabular.encode_table(rowschema.RowSchema.named("n_nationkey", "n_name").project(table(spark, sf_dir, "nation")), ["n_nationkey"], "nation")
 
 
@@ -433,16 +484,28 @@ def bin_object_table_lineitem(spark, sf_dir):
     return back.select("l_orderkey", F.size("back").alias("n"), columnar.alias("columnar"), total("l_partkey", "long").alias("parts"), total("l_tax", "decimal(18,2)").alias("tax"))
 
 
-@query("bin_derive_schema", "select * from (values ('o_custkey', 'int64'), ('o_orderkey', 'int64'), ('o_orderpriority', 'string'), ('o_orderstatus', 'string'), ('o_totalprice', 'float64')) as t(field, element)")
+@query("bin_derive_schema", "select * from (values ('event_id', 'int64'), ('event_type', 'string'), ('late', 'float64'), ('never', 'null'), ('value', 'float64')) as t(field, element)")
 def bin_derive_schema(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    """Over all events, with a field that most of them lack and one that none has."""
+    late = F.when(F.col("event_id") == F.lit(table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]), F.col("value"))
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", "value", late.alias("late"), F.lit(None).cast("string").alias("never"))
     return spark.createDataFrame(list(C.derive_schema(df).fields), "field string, element string")
 
 
-@query("bin_string_table_frequency", "select o_orderpriority as entry, cast(count(*) as bigint) as n from orders group by 1 having count(*) >= 2")
+@query("bin_out_of_band_schema", f"select {', '.join(c for c in TABLES['orders'] if c != 'o_orderdate')} from orders")
+def bin_out_of_band_schema(spark, sf_dir):
+    """Records whose messages leave their schema out, read under the schema that both sides know."""
+    df = table(spark, sf_dir, "orders").drop("o_orderdate")
+    schema = C.derive_schema(df)
+    made = df.select(C.to_cbin(F.struct(*df.columns), schema, embed_schema=False).alias("message"))
+    return made.select(C.from_cbin(F.col("message"), df.schema, schema, "FAILFAST").alias("v")).select("v.*")
+
+
+@query("bin_string_table_frequency", "with w as (select doc_id, unnest([lang, source]) as entry, generate_subscripts([lang, source], 1) as k from documents) select entry, cast(count(*) as bigint) as n, cast(row_number() over (order by min(doc_id * 2 + k)) - 1 as integer) as place from w group by entry having count(*) >= 2")
 def bin_string_table_frequency(spark, sf_dir):
-    """What a table of strings over a whole column would hold."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("entry")).agg(F.count("*").alias("n")).where("n >= 2")
+    """The string table of two columns: strings that occur twice or more, in the order of their first places."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return C.string_table(df, ["lang", "source"], ["doc_id"])
 
 
 @query("session_dictionary_conversations", "select cast(conv_id as varchar) as session, turn as seq, role, text from conversations")
@@ -459,14 +522,14 @@ def session_dictionary_conversations(spark, sf_dir):
 @query("source_table_files", "select c_custkey, c_name, c_acctbal from customer")
 def source_table_files(spark, sf_dir):
     path, df = scratch(spark, "tables"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    sources.write_tables(df, path, "customers")
+    sources.write_tables(df, path, "customers", fixed_point=True)
     return sources.read_tables(spark, path, df.schema).select(*df.columns)
 
 
 @query("source_big_table", "select l_orderkey, l_linenumber, l_extendedprice, l_returnflag from lineitem")
 def source_big_table(spark, sf_dir):
     path, df = scratch(spark, "tables"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    sources.write_tables(df, path)
+    sources.write_tables(df, path, fixed_point=True)
     return sources.read_big_table(spark, path, df.schema)
 
 
@@ -475,6 +538,7 @@ def _source(name: str) -> Callable:
         sources.register(spark)
         path = scratch(spark, name)
         table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.format(name).mode("append").save(path)
+        table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.format(name).mode("overwrite").save(path)
         found = spark.read.format(name).load(path)
         rows = F.explode(F.from_json("value", "array<struct<s_suppkey:bigint,s_name:string,s_acctbal:double>>"))
         return found.select(rows.alias("v")).select("v.*")
@@ -492,18 +556,8 @@ def _drain(spark: SparkSession, stream: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query("stream_documents", "select o_orderkey as id, o_totalprice as total from orders where o_orderkey <= 50")
+@query("stream_documents", "select o_orderkey as id, o_totalprice as total from orders")
 def stream_documents(spark, sf_dir):
-    """Documents that arrive as files, decoded as a stream; the few orders keep the number of files small."""
-    path = scratch(spark, "arriving")
-    some = table(spark, sf_dir, "orders").where("o_orderkey <= 50")
-    docs = some.select("o_orderkey", C.to_ctext(_order_record()).alias("value"))
-    docs.write.partitionBy("o_orderkey").text(path)
-    return _drain(spark, read_document_stream(spark, f"{path}/*", "id long, total double"), "stream")
-
-
-@query("stream_documents_all", "select o_orderkey as id, o_totalprice as total from orders")
-def stream_documents_all(spark, sf_dir):
     """All orders as documents that arrive as files, about 2,000 orders a file, decoded as a stream."""
     path, orders = scratch(spark, "arriving"), table(spark, sf_dir, "orders")
     files = F.pmod(F.xxhash64("o_orderkey"), F.lit(orders.count() // 2000 + 1))
@@ -541,6 +595,6 @@ def stream_windowed_counts(spark, sf_dir):
   lines as (select left(n_name, 1) as letter, n_name, '  ' || n_name || ',' || n || ',' || regexp_replace(regexp_replace(cast(total as varchar), '0+$', ''), '\\.$', '') as line from totals)
 select letter, 'nations[' || count(*) || ']{n_name,n,total}:' || chr(10) || string_agg(line, chr(10) order by n_name) as document from lines group by letter""")
 def decode_join_aggregate_encode(spark, sf_dir):
-    docs = tabular.encode_groups(table(spark, sf_dir, "customer"), ["c_mktsegment"], ["c_custkey"], "customers", columns=["c_custkey", "c_nationkey", "c_acctbal"])
+    docs = tabular.encode_groups(table(spark, sf_dir, "customer"), ["c_mktsegment"], ["c_custkey"], "customers", columns=["c_custkey", "c_nationkey", "c_acctbal"], fixed_point=True)
     kind = T._parse_datatype_string("c_custkey long, c_nationkey int, c_acctbal double")
     return decode_join_encode(docs, "document", kind, table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", "n_name", "c_acctbal", "nations")

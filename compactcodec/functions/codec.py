@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from compactcodec.kernel import binary, text
 from compactcodec.kernel.scalars import CodecError
@@ -32,6 +33,11 @@ def to_ctext(c: Column, indent: int = 2, delimiter: str = ",", length_marker: st
     return encode(c)
 
 
+#: what a document or message of foreign origin can raise
+BROKEN = (CodecError, ValueError, TypeError, ArithmeticError, RecursionError)
+_RANGES = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
 def _fit(x, kind: T.DataType):
     """A decoded value as the type asks; a value of another kind is an error."""
     if x is None:
@@ -57,6 +63,9 @@ def _fit(x, kind: T.DataType):
     if isinstance(kind, T.IntegralType):
         if isinstance(x, bool) or not isinstance(x, (int, float)) or x != int(x):
             raise CodecError("no integer")
+        bits = _RANGES[type(kind)]
+        if not -(1 << bits) <= x < 1 << bits:
+            raise CodecError("an integer out of range")
         return int(x)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         if isinstance(x, bool) or not isinstance(x, (int, float)):
@@ -69,12 +78,17 @@ def _fit(x, kind: T.DataType):
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         import datetime
 
+        if not isinstance(x, str):
+            raise CodecError("no time")
         found = datetime.datetime.fromisoformat(x)
         return found.date() if isinstance(kind, T.DateType) else found
     if isinstance(kind, T.DecimalType):
         import decimal
 
-        return decimal.Decimal(str(x)).quantize(decimal.Decimal(1).scaleb(-kind.scale))
+        found = decimal.Decimal(str(x)).quantize(decimal.Decimal(1).scaleb(-kind.scale), context=decimal.Context(prec=40))
+        if not found.is_finite() or found and found.adjusted() >= kind.precision - kind.scale:
+            raise CodecError("a decimal out of range")
+        return found
     raise CodecError(f"no {kind.simpleString()}")
 
 
@@ -87,7 +101,7 @@ def _decoded(values: list, kind: T.DataType, decode, mode: str) -> pa.Array:
     for v in values:
         try:
             out.append(None if v is None else _fit(decode(v), kind))
-        except (CodecError, ValueError, OverflowError):
+        except BROKEN:
             if mode == "FAILFAST":
                 raise
             out.append(None)
@@ -114,7 +128,7 @@ def from_ctext_json(c: Column, indent: int = 2, strict: bool = True) -> Column:
         for v in x.to_pylist():
             try:
                 out.append(None if v is None else _json(text.loads(v, indent, strict)))
-            except CodecError:
+            except BROKEN:
                 out.append(None)
         return pa.array(out, pa.string())
 
@@ -129,7 +143,7 @@ def is_valid_ctext(c: Column, indent: int = 2, strict: bool = True) -> Column:
         def one(v):
             try:
                 text.loads(v, indent, strict)
-            except CodecError:
+            except BROKEN:
                 return False
             return True
 
@@ -172,6 +186,30 @@ def derive_schema(df: DataFrame) -> binary.BinSchema:
     return binary.derive_schema([dict(zip(df.columns, first[1:], strict=True))] if first[0] else [])
 
 
+def string_table(df: DataFrame, columns: list[str], order: list[str], least: int = 2) -> DataFrame:
+    """(entry, n, place): the string table of text columns over a whole frame, as the kernel would make it.
+
+    Strings that occur ``least`` times or more, in the order of their first places: rows by ``order``,
+    columns as listed.  Counts and first places are one aggregate; only the table's own entries are put
+    in order.
+    """
+    place = lambda k: F.struct(*order, F.lit(k).alias("k"))
+    each = F.explode(F.array(*[F.struct(F.col(f"`{c}`").alias("entry"), place(k).alias("at")) for k, c in enumerate(columns)]))
+    found = df.select(each.alias("x")).select("x.*").where("entry is not null").groupBy("entry").agg(F.count("*").alias("n"), F.min("at").alias("at")).where(F.col("n") >= least)
+    return found.select("entry", "n", (F.row_number().over(Window.orderBy("at")) - 1).alias("place"))
+
+
+def column_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: for each number column its least and largest value, whether it has nulls, and whether 32 bits hold all its doubles; what a table by column needs to choose its element types."""
+    out = []
+    for c in columns:
+        x = F.col(f"`{c}`")
+        out += [F.min(x).alias(f"{c}.min"), F.max(x).alias(f"{c}.max"), (F.count(x) < F.count("*")).alias(f"{c}.nulls")]
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            out.append(F.coalesce(F.bool_and(~F.isnan(x) & (x.cast("float").cast("double") == x)), F.lit(False)).alias(f"{c}.float32"))
+    return df.agg(*out)
+
+
 def _kind(x) -> T.DataType:
     if isinstance(x, dict):
         return T.StructType([T.StructField(k, _kind(v)) for k, v in x.items()])

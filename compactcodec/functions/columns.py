@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,12 +55,24 @@ def quote_key_text(c: Column) -> Column:
     return F.when(c.rlike(scalars.UNQUOTED_KEY) & ~c.endswith("\n"), c).otherwise(F.concat(F.lit('"'), escape_text(c), F.lit('"')))
 
 
-def number_text(c: Column, kind: T.DataType) -> Column:
+def _fixed_point(x: Column) -> tuple[Column, Column]:
+    """Digits of a double, and whether they are its shortest form: it has at most six decimals and nine digits before them, or is whole below 2^53."""
+    scaled = F.rint(x * 1e6)
+    a = F.abs(scaled.cast("bigint"))
+    div = F.call_function("div", a, F.lit(1_000_000).cast("bigint"))
+    tail = F.rtrim(F.lpad((a % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
+    whole = (x == F.floor(x)) & (F.abs(x) < 2.0**53)
+    text = F.when(whole, x.cast("bigint").cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), div.cast("string"), F.lit("."), tail))
+    # a decimal of at most 15 digits is the only one of such length that its nearest double has
+    return text, whole | (F.abs(x) < 1e9) & (scaled / 1e6 == x)
+
+
+def number_text(c: Column, kind: T.DataType, fixed_point: bool = False) -> Column:
     """Digits of a number.
 
-    A double goes through here if it has at most six decimals and nine digits before them, for which
-    its decimal form is the shortest one, or is integral below 2^53; others are an error, as only the
-    kernel prints them (``canonical_number``).
+    Most doubles are fixed-point numbers, which are printed natively; only the others go to the
+    kernel's rule, in Arrow batches.  With ``fixed_point`` the plan has no Python, and any other
+    double than such, an infinity or a NaN is an error.
     """
     if isinstance(kind, T.IntegralType):
         return c.cast("string")
@@ -66,21 +80,49 @@ def number_text(c: Column, kind: T.DataType) -> Column:
         plain = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
         return F.when(plain.contains("."), plain).when(F.abs(c) <= 2**53 - 1, plain).otherwise(F.concat(F.lit('"'), plain, F.lit('"')))
     x = c.cast("double")
-    whole = (x == F.floor(x)) & (F.abs(x) < 2.0**53)
-    fixed = F.rtrim(x.cast("decimal(18,6)").cast("string"), F.lit("0"))  # not whole, so a decimal stays
-    text = F.when(F.isnan(x) | (F.abs(x) == float("inf")), "null").when(whole, x.cast("bigint").cast("string"))
-    return text.when((F.abs(x) < 1e9) & (F.round(x, 6) == x), fixed).otherwise(F.raise_error(F.concat(F.lit("no fixed-point number: "), x.cast("string"))))
+    text, fits = _fixed_point(x)
+    text = F.when(fits, text)
+    if fixed_point:
+        return text.when(F.isnan(x) | (F.abs(x) == float("inf")), "null").when(x.isNotNull(), F.raise_error(F.concat(F.lit("no fixed-point number: "), x.cast("string"))))
+    return F.coalesce(text, canonical_number(F.when(~fits, x)))
+
+
+def _digits(x: pa.Array, form: str) -> pa.Array:
+    """Digits of doubles: Arrow's shortest text, put right where it has an exponent, a needless point or no number."""
+    if form == "canonical":
+        text = pc.replace_substring_regex(pc.cast(x, pa.string()), r"\.0$", "")
+        odd = pc.fill_null(pc.or_(pc.match_substring_regex(text, "[a-z]"), pc.equal(text, "-0")), False)
+    else:
+        text, odd = pa.nulls(len(x), pa.string()), pc.is_valid(x)
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(at):
+        made = [scalars.number(v, form) for v in x.take(pa.array(at)).to_pylist()]
+        text = pc.replace_with_mask(text, odd, pa.array(made, pa.string()))
+    return text
 
 
 def canonical_number(c: Column, form: str = "canonical") -> Column:
-    """Digits of any double, by the kernel in Arrow batches."""
+    """Digits of any double, in Arrow batches."""
+
     @arrow_udf("string")
     def text(x: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else scalars.number(v, form) for v in x.to_pylist()], pa.string())
+        return _digits(x, form)
 
     return text(c.cast("double"))
 
 
+def canonical_numbers(c: Column) -> Column:
+    """Digits of each double of an array, in Arrow batches."""
+
+    @arrow_udf("array<string>")
+    def texts(x: pa.Array) -> pa.Array:
+        if isinstance(x, pa.ChunkedArray):
+            x = x.combine_chunks()
+        return pa.ListArray.from_arrays(x.offsets, _digits(x.values, "canonical"), mask=x.is_null()) if len(x) else pa.array([], pa.list_(pa.string()))
+
+    return texts(c.cast("array<double>"))
+
+
 def time_text(c: Column, utc: bool) -> Column:
     """ISO 8601 with three digits of a second, or six where three don't do."""
     c = F.to_utc_timestamp(c, F.current_timezone()) if utc else c
@@ -89,14 +131,14 @@ def time_text(c: Column, utc: bool) -> Column:
     return F.concat(F.when(n == 19, F.concat(text, F.lit(".000"))).when(n <= 23, F.rpad(text, 23, "0")).otherwise(F.rpad(text, 26, "0")), F.lit("Z" if utc else ""))
 
 
-def cell(c: Column, kind: T.DataType, delimiter: str = ",") -> Column:
+def cell(c: Column, kind: T.DataType, delimiter: str = ",", fixed_point: bool = False) -> Column:
     """One cell; null is ``null``."""
     if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
         text = quote_text(c, delimiter)
     elif isinstance(kind, T.BooleanType):
         text = c.cast("string")
     elif isinstance(kind, T.NumericType):
-        text = number_text(c, kind)
+        text = number_text(c, kind, fixed_point)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.concat(F.lit('"'), time_text(c, isinstance(kind, T.TimestampType)), F.lit('"'))
     elif isinstance(kind, T.DateType):
@@ -117,9 +159,9 @@ def leaves(schema: T.StructType, of: Column | None = None) -> list[tuple[Column,
     return out
 
 
-def row_line(schema: T.StructType, delimiter: str = ",") -> Column:
+def row_line(schema: T.StructType, delimiter: str = ",", fixed_point: bool = False) -> Column:
     """The table row of a record of this schema; structs are groups of columns and must not be null."""
-    return F.concat_ws(delimiter, *[cell(c, kind, delimiter) for c, kind in leaves(schema)])
+    return F.concat_ws(delimiter, *[cell(c, kind, delimiter, fixed_point) for c, kind in leaves(schema)])
 
 
 def field_list(schema: T.StructType, delimiter: str = ",") -> str:
@@ -132,9 +174,12 @@ def header_text(key: str | None, n: Column, schema: T.StructType, delimiter: str
     return F.concat(F.lit(before), n.cast("string"), F.lit(after))
 
 
-def inline_array(key: str | None, c: Column, element: T.DataType, delimiter: str = ",", length_marker: str = "") -> Column:
+def inline_array(key: str | None, c: Column, element: T.DataType, delimiter: str = ",", length_marker: str = "", fixed_point: bool = False) -> Column:
     name = scalars.quote_key(key) if key is not None else ""
-    values = F.array_join(F.transform(c, lambda x: cell(x, element, delimiter)), delimiter)
+    if isinstance(element, (T.FloatType, T.DoubleType)) and not fixed_point:
+        values = F.array_join(canonical_numbers(c), delimiter, "null")
+    else:
+        values = F.array_join(F.transform(c, lambda x: cell(x, element, delimiter, fixed_point)), delimiter)
     some = F.concat(F.lit(f"{name}[{length_marker}"), F.size(c).cast("string"), F.lit(f"{MARKS[delimiter]}]: "), values)
     return F.when(F.size(c) == 0, f"{name}: []" if key is not None else "[]").otherwise(some)
 
@@ -155,13 +200,17 @@ def split_cells(line: Column, delimiter: str = ",") -> Column:
     return F.when(line == "", F.array().cast("array<string>")).when(line.contains('"'), found).otherwise(plain)
 
 
+#: text whose escapes are all allowed; a surrogate is none
+_ESCAPED_RX = r'(?s)^(?:[^\\]|\\["\\nrt]|\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4})*+$'
+
+
 def unescape_text(c: Column) -> Column:
-    """Reverse of ``escape_text``; other escapes than those it writes are left to the kernel."""
+    """Reverse of ``escape_text``, with any code of four digits; a text with another escape is null."""
     back = [("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')]
-    sign = lambda x: F.concat(F.chr(F.conv(F.left(x, F.lit(2)), 16, 10).cast("int")), F.substr(x, F.lit(3)))
-    coded = lambda p: F.array_join(F.transform(F.split(p, r"\\u00", -1), lambda x, i: F.when(i == 0, x).otherwise(sign(x))), "")
-    one = lambda p: F.when(p.contains("\\u00"), coded(_replace(p, back))).otherwise(_replace(p, back))
-    return F.when(c.contains("\\"), F.array_join(F.transform(F.split(c, re.escape("\\\\"), -1), one), "\\")).otherwise(c)
+    sign = lambda x: F.concat(F.decode(F.unhex(F.left(x, F.lit(4))), "UTF-16BE"), _replace(F.substr(x, F.lit(5)), back))
+    coded = lambda p: F.array_join(F.transform(F.split(p, r"\\u", -1), lambda x, i: F.when(i == 0, _replace(x, back)).otherwise(sign(x))), "")
+    one = lambda p: F.when(p.contains("\\u"), coded(p)).otherwise(_replace(p, back))
+    return F.when(~c.contains("\\"), c).when(c.rlike(_ESCAPED_RX), F.array_join(F.transform(F.split(c, re.escape("\\\\"), -1), one), "\\"))
 
 
 def parse_cell(c: Column, kind: T.DataType) -> Column:
@@ -178,17 +227,68 @@ def parse_cell(c: Column, kind: T.DataType) -> Column:
     raise TypeError(f"{kind.simpleString()} is no cell")
 
 
-def parse_row(line: Column, schema: T.StructType, delimiter: str = ",") -> list[Column]:
-    """Typed columns of a row line; nested structs are rebuilt."""
-    parts = split_cells(line, delimiter)
-    at = iter(range(10**6))
+def split_by_mark(line: Column, mark: Column) -> Column:
+    """Cells of a row under a header with this delimiter mark: none, a tab or a pipe."""
+    return F.when(mark == "", split_cells(line)).when(mark == "|", split_cells(line, "|")).otherwise(split_cells(line, "\t"))
+
+
+def typed_cells(parts: Column, schema: T.StructType, at: Column | None = None) -> list[Column]:
+    """Typed columns of a row's cells; the leaves take the cells in order, or those at the places ``at``.  Nested structs are rebuilt."""
+    k = iter(range(10**6))
+
+    def leaf() -> Column:
+        i = F.lit(next(k))
+        return F.get(parts, i if at is None else F.get(at, i))
 
     def build(s: T.StructType) -> list[Column]:
-        return [(F.struct(*build(f.dataType)) if isinstance(f.dataType, T.StructType) else parse_cell(F.get(parts, F.lit(next(at))), f.dataType)).alias(f.name) for f in s.fields]
+        return [(F.struct(*build(f.dataType)) if isinstance(f.dataType, T.StructType) else parse_cell(leaf(), f.dataType)).alias(f.name) for f in s.fields]
 
     return build(schema)
 
 
+def parse_row(line: Column, schema: T.StructType, delimiter: str = ",") -> list[Column]:
+    """Typed columns of a row line whose cells are in the schema's order."""
+    return typed_cells(split_cells(line, delimiter), schema)
+
+
+#: parts a path's names; no name that needs no quotes holds it
+PATH = "\x1f"
+_HEADER_RX = r'^(?:"(?:[^"\\]|\\.)*+"|[^:\["{} ][^:\["{}]*+)?\[#?(0|[1-9][0-9]*)(:?)([\t|]?)\]\{(.*)\} *:[ \r]*$'
+
+
+def leaf_paths(schema: T.StructType, above: tuple[str, ...] = ()) -> list[str]:
+    """Paths of the leaves of nested structs, depth first."""
+    out: list[str] = []
+    for f in schema.fields:
+        path = (*above, f.name)
+        out += leaf_paths(f.dataType, path) if isinstance(f.dataType, T.StructType) else [PATH.join(path)]
+    return out
+
+
+def table_header(line: Column) -> Column:
+    """(n, keyed, mark, paths) of a table's header line; ``n`` is null for any other line.  ``paths`` are those of the columns, groups included."""
+    part = lambda i: F.regexp_extract(line, _HEADER_RX, i)
+    mark, fields = part(3), part(4)
+    sign = F.when(mark == "", ",").otherwise(mark)
+    pattern = F.concat(F.lit(r'"(?:[^"\\]|\\.)*+"|[{}'), sign, F.lit(r']|[^"{}'), sign, F.lit("]++"))
+    tokens = F.regexp_extract_all(fields, pattern, F.lit(0))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("stack"), F.lit(None).cast("string").alias("name"), none.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["name"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.array_join(F.concat(acc["stack"], F.array(acc["name"])), PATH))))
+
+    def step(acc: Column, t: Column) -> Column:
+        plain = trim_space(t)
+        name = F.when(plain.startswith('"'), unescape_text(F.substr(plain, F.lit(2), F.length(plain) - 2))).when(plain == "", acc["name"]).otherwise(plain)
+        opens, closes, parts = t == "{", t == "}", t == sign
+        stack = F.when(opens, F.concat(acc["stack"], F.array(acc["name"]))).when(closes, F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))).otherwise(acc["stack"])
+        return F.struct(stack.alias("stack"), F.when(~(opens | closes | parts), name).alias("name"), F.when(closes | parts, closed(acc)).otherwise(acc["out"]).alias("out"))
+
+    n = F.when(line.rlike(_HEADER_RX), part(1).try_cast("int"))
+    return F.struct(n.alias("n"), (part(2) == ":").alias("keyed"), mark.alias("mark"), F.aggregate(tokens, start, step, closed).alias("paths"))
+
+
 def line_type(c: Column, delimiter: str = ",") -> Column:
     """blank, listItem, arrayHeader, keyValue, dataRow or primitive, for lines without odd headers."""
     x = F.regexp_replace(c, "^[ \\t]+|[ \\t\\r]+$", "")
@@ -245,8 +345,8 @@ def has_native_object(schema: T.DataType) -> bool:
     return all(_is_cell(f.dataType) or isinstance(f.dataType, T.ArrayType) and _is_cell(f.dataType.elementType) or has_native_object(f.dataType) for f in schema.fields)
 
 
-def object_text(schema: T.StructType, of: Column | None = None, indent: int = 2, delimiter: str = ",", length_marker: str = "", depth: int = 0) -> Column:
-    """The document of a record, without Python, for schemas that ``has_native_object`` accepts; doubles as in ``number_text``."""
+def object_text(schema: T.StructType, of: Column | None = None, indent: int = 2, delimiter: str = ",", length_marker: str = "", depth: int = 0, fixed_point: bool = False) -> Column:
+    """The document of a record, by native expressions, for schemas that ``has_native_object`` accepts; doubles as in ``number_text``."""
     if not has_native_object(schema):
         raise TypeError(f"the values of {schema.simpleString()} decide the form of its documents")
     pad, parts = " " * (indent * depth), []
@@ -254,12 +354,12 @@ def object_text(schema: T.StructType, of: Column | None = None, indent: int = 2,
         c, kind, name = F.col(f"`{f.name}`") if of is None else of.getField(f.name), f.dataType, scalars.quote_key(f.name)
         null = F.lit(f"{pad}{name}: null")
         if isinstance(kind, T.StructType):
-            inner = object_text(kind, c, indent, delimiter, length_marker, depth + 1)
+            inner = object_text(kind, c, indent, delimiter, length_marker, depth + 1, fixed_point)
             parts.append(F.when(c.isNull(), null).otherwise(F.concat(F.lit(f"{pad}{name}:\n"), inner)))
         elif isinstance(kind, T.ArrayType):
-            parts.append(F.coalesce(F.concat(F.lit(pad), inline_array(f.name, c, kind.elementType, delimiter, length_marker)), null))
+            parts.append(F.coalesce(F.concat(F.lit(pad), inline_array(f.name, c, kind.elementType, delimiter, length_marker, fixed_point)), null))
         else:
-            parts.append(F.concat(F.lit(f"{pad}{name}: "), cell(c, kind, delimiter)))
+            parts.append(F.concat(F.lit(f"{pad}{name}: "), cell(c, kind, delimiter, fixed_point)))
     return F.concat_ws("\n", *parts)
 
 

@@ -9,6 +9,8 @@ from typing import NamedTuple
 from compactcodec.kernel.scalars import CodecError, closing_quote, find_unquoted, normalise, parse_token, primitive, quote_key, split_cells, string_literal, trim
 
 MARKS = {",": "", "\t": "\t", "|": "|"}
+#: levels that a document may nest; deeper ones are refused, whatever the interpreter's stack
+MAX_DEPTH = 200
 
 
 @dataclass(frozen=True)
@@ -286,6 +288,8 @@ def scan(text: str, indent: int = 2, strict: bool = True) -> tuple[list[Line], l
         spaces = len(raw) - len(content)
         if strict and spaces % indent:
             raise CodecError(f"line {number}: indentation is no multiple of {indent}")
+        if spaces // indent > MAX_DEPTH:
+            raise CodecError(f"line {number}: nested deeper than {MAX_DEPTH}")
         lines.append(Line(spaces // indent, content, number))
     return lines, blanks
 

@@ -140,7 +140,11 @@ class FlattenedSchema(RowSchema):
 
 @dataclass(frozen=True)
 class EnumSchema(RowSchema):
-    """Text of some fields as integer codes; what has no code passes as it is."""
+    """Text of some fields as integer codes; what has no code passes as it is.
+
+    In a column codes and text share one type, so there text without a code that could be taken for
+    one gets a backslash in front, which decoding takes off.
+    """
 
     codes: dict[str, dict[str, int]] = field(default_factory=dict)
 
@@ -153,10 +157,17 @@ class EnumSchema(RowSchema):
 
     def to_columns(self, df: DataFrame) -> list[Column]:
         """Coded fields are text of the code, or the value where it has none."""
-        return [F.coalesce(_lookup(self.codes[n], F.col(n)), F.col(n)).alias(n) if n in self.codes and n in df.columns else c for n, c in zip(self.names, super().to_columns(df), strict=True)]
+        plain = lambda c: F.when(c.rlike(_CODE_LIKE), F.concat(F.lit("\\"), c)).otherwise(c)
+        return [F.coalesce(_lookup(self.codes[n], F.col(f"`{n}`")), plain(F.col(f"`{n}`"))).alias(n) if n in self.codes and n in df.columns else c for n, c in zip(self.names, super().to_columns(df), strict=True)]
 
     def restore(self, df: DataFrame) -> DataFrame:
-        return df.select(*[F.coalesce(_lookup({str(c): s for s, c in self.codes[n].items()}, F.col(n)), F.col(n)).alias(n) if n in self.codes else F.col(n) for n in self.names])
+        plain = lambda c: F.when(c.rlike(_CODE_LIKE) & c.startswith("\\"), F.substr(c, F.lit(2))).otherwise(c)
+        back = lambda n: _lookup({str(c): s for s, c in self.codes[n].items()}, F.col(f"`{n}`"))
+        return df.select(*[F.coalesce(back(n), plain(F.col(f"`{n}`"))).alias(n) if n in self.codes else F.col(f"`{n}`") for n in self.names])
+
+
+#: digits, as a code has them, behind any number of backslashes
+_CODE_LIKE = r"^\\*-?[0-9]+$"
 
 
 def _lookup(codes: dict, c: Column) -> Column:

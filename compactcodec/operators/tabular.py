@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from compactcodec.functions.columns import header_text, parse_row, quote_key_text, row_line, trim_space
+from compactcodec.functions.columns import header_text, leaf_paths, parse_row, quote_key_text, row_line, split_by_mark, table_header, trim_space, typed_cells
 
 
 def _body(lines: Column, indent: int) -> Column:
@@ -23,17 +23,21 @@ def _ordered(order: list[str], line: Column) -> Column:
     return F.transform(rows, lambda r: r["__line"])
 
 
-def encode_rows(df: DataFrame, columns: list[str] | None = None, delimiter: str = ",", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` and ``line``: the table row of each record."""
+def encode_rows(df: DataFrame, columns: list[str] | None = None, delimiter: str = ",", keep: list[str] | None = None, fixed_point: bool = False) -> DataFrame:
+    """``keep`` and ``line``: the table row of each record.  ``fixed_point`` as in ``number_text``, here and below."""
     part = df.select(*(columns or df.columns))
-    return df.select(*(keep or []), row_line(part.schema, delimiter).alias("line"))
+    return df.select(*(keep or []), row_line(part.schema, delimiter, fixed_point).alias("line"))
 
 
-def encode_groups(df: DataFrame, by: list[str], order: list[str], key: str | None = None, columns: list[str] | None = None, delimiter: str = ",", length_marker: str = "", indent: int = 2) -> DataFrame:
-    """``by`` and ``document``: a table document of each group's rows, in order."""
+def encode_groups(df: DataFrame, by: list[str], order: list[str], key: str | None = None, columns: list[str] | None = None, delimiter: str = ",", length_marker: str = "", indent: int = 2, fixed_point: bool = False) -> DataFrame:
+    """``by`` and ``document``: a table document of each group's rows, in order.
+
+    A document is one value of one task; for groups beyond that, ``sources.write_tables`` writes files.
+    """
     names = columns or [c for c in df.columns if c not in by]
     schema = df.select(*names).schema
-    grouped = df.groupBy(*by).agg(_ordered(order, row_line(schema, delimiter)).alias("__lines"))
+    lined = df.select(*by, *[c for c in order if c not in by], row_line(schema, delimiter, fixed_point).alias("__line"))
+    grouped = lined.groupBy(*by).agg(_ordered(order, F.col("__line")).alias("__lines"))
     document = F.concat(header_text(key, F.size("__lines"), schema, delimiter, length_marker), F.lit("\n"), _body(F.col("__lines"), indent))
     return grouped.select(*by, document.alias("document"))
 
@@ -43,27 +47,61 @@ def encode_table(df: DataFrame, order: list[str], key: str | None = None, **opti
     return encode_groups(df.withColumn("__all", F.lit(1)), ["__all"], order, key, df.columns, **options).select("document")
 
 
-def encode_keyed(df: DataFrame, entry: str, key: str | None = None, columns: list[str] | None = None, delimiter: str = ",", indent: int = 2) -> DataFrame:
+def encode_keyed(df: DataFrame, entry: str, key: str | None = None, columns: list[str] | None = None, delimiter: str = ",", indent: int = 2, fixed_point: bool = False) -> DataFrame:
     """One document that maps each ``entry`` to its record, by entry."""
     names = columns or [c for c in df.columns if c != entry]
     schema = df.select(*names).schema
-    line = F.concat(quote_key_text(F.col(entry).cast("string")), F.lit(": "), row_line(schema, delimiter))
-    grouped = df.groupBy().agg(_ordered([entry], line).alias("__lines")).where(F.size("__lines") > 0)
+    line = F.concat(quote_key_text(F.col(entry).cast("string")), F.lit(": "), row_line(schema, delimiter, fixed_point))
+    grouped = df.select(entry, line.alias("__line")).groupBy().agg(_ordered([entry], F.col("__line")).alias("__lines")).where(F.size("__lines") > 0)
     return grouped.select(F.concat(header_text(key, F.size("__lines"), schema, delimiter, keyed=True), F.lit("\n"), _body(F.col("__lines"), indent)).alias("document"))
 
 
 def decode_lines(lines: DataFrame, column: str, schema: T.StructType, delimiter: str = ",", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` and the typed columns of row lines."""
+    """``keep`` and the typed columns of row lines, whose cells are in the schema's order."""
     return lines.select(*(keep or []), *parse_row(F.col(column), schema, delimiter))
 
 
-def explode_rows(docs: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
-    """``keep``, ``row_idx`` and ``line`` of documents that are one flat table each; no Python."""
-    body = F.filter(F.split(F.col(column), "\n"), lambda x, i: (i > 0) & (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
-    return docs.select(*(keep or []), F.posexplode(F.transform(body, trim_space)).alias("row_idx", "line"))
+#: a blank line with a row before and one after it
+_GAP = r"\n +[^\s#][^\n]*+\n(?:[ \t]*+#[^\n]*+\n)*+[ \t\r]*+\n(?:[ \t\r]*+\n)*+ +[^\s#]"
+
 
+def explode_rows(docs: DataFrame, column: str, keep: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """``keep``, ``row_idx``, ``line``, ``mark`` and ``paths`` of documents that start with a table, or are one; no Python.
 
-def decode_tables(docs: DataFrame, column: str, schema: T.StructType, delimiter: str = ",", keep: list[str] | None = None) -> DataFrame:
-    """Typed rows of documents that are one flat table each: ``keep``, ``row_idx`` and the columns."""
+    The header says how many rows there are, what parts their cells (``mark``) and which columns they
+    belong to (``paths``).  Rows end at that number or at the next line at the margin.  A document is
+    malformed if it starts with no header, repeats a column, or has another number of rows, a row of
+    another width or a blank line between rows.  Of such a document ``PERMISSIVE`` gives the rows that
+    there are, ``DROPMALFORMED`` none, and ``FAILFAST`` stops.
+    """
+    keep = keep or []
+    text = F.regexp_replace(F.col(column), "^\ufeff", "")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^[ \t]*(?:#|\r*$)"))
+    found = docs.select(*keep, F.col(column).alias("__text"), lines.alias("__all"))
+    found = found.select(*keep, "__text", "__all", table_header(F.get("__all", F.lit(0))).alias("__head"))
+    body = F.slice("__all", F.lit(2), F.greatest(F.size("__all") - 1, F.lit(0)))
+    margin = F.array_position(F.transform(body, lambda x: ~x.startswith(" ")), True)
+    rows = F.transform(F.when(margin == 0, body).otherwise(F.slice(body, F.lit(1), F.greatest(margin.cast("int") - 1, F.lit(0)))), trim_space)
+    found = found.where(F.col("__text").isNotNull()).select(*keep, "__text", "__head", rows.alias("__rows"))
+    n, mark, paths = F.col("__head.n"), F.col("__head.mark"), F.col("__head.paths")
+    if mode != "PERMISSIVE":
+        width = F.forall("__rows", lambda x: F.size(split_by_mark(x, mark)) == F.size(paths))
+        fine = F.coalesce(n.isNotNull() & ~F.col("__head.keyed") & (F.size("__rows") == n) & (F.size(F.array_distinct(paths)) == F.size(paths)) & width & ~F.col("__text").rlike(_GAP), F.lit(False))
+        fine = fine if mode == "DROPMALFORMED" else F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("malformed table: "), F.left("__text", F.lit(200)))).cast("boolean"))
+        found = found.where(fine)
+    some = F.slice("__rows", F.lit(1), F.coalesce(n, F.lit(0)))
+    return found.where(n.isNotNull() & ~F.col("__head.keyed")).select(*keep, mark.alias("mark"), paths.alias("paths"), F.posexplode(some).alias("row_idx", "line")).select(*keep, "row_idx", "line", "mark", "paths")
+
+
+def decode_tables(docs: DataFrame, column: str, schema: T.StructType, keep: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """Typed rows of table documents: ``keep``, ``row_idx`` and the schema's columns, found by the names in each document's header.
+
+    Columns that a header doesn't have are null, columns that the schema doesn't have are left out.
+    ``mode`` as in ``explode_rows``.
+    """
     keep = keep or []
-    return decode_lines(explode_rows(docs, column, keep), "line", schema, delimiter, [*keep, "row_idx"])
+    want = F.array(*map(F.lit, leaf_paths(schema)))
+    rows = explode_rows(docs, column, keep, mode)
+    at = F.transform(want, lambda p: (F.array_position(F.col("paths"), p) - 1).cast("int"))
+    cells = rows.select(*keep, "row_idx", split_by_mark(F.col("line"), F.col("mark")).alias("__cells"), at.alias("__at"))
+    return cells.select(*keep, "row_idx", *typed_cells(F.col("__cells"), schema, F.col("__at")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from compactcodec.functions.codec import from_ctext, to_cbin
-from compactcodec.functions.columns import field_list, row_line, trim_space
+from compactcodec.functions.columns import field_list, leaf_paths, row_line, table_header, trim_space
 from compactcodec.kernel import scalars
 from compactcodec.kernel.text import MARKS
 from compactcodec.operators.tabular import decode_lines, decode_tables
@@ -34,26 +34,32 @@ def read_documents(spark: SparkSession, path: str, schema: T.DataType | str | No
     return found.select("path", "v.*", *corrupt)
 
 
-def read_tables(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ",") -> DataFrame:
-    """Rows of files that are one flat table each: path, row_idx and the columns, without Python."""
+def read_tables(spark: SparkSession, path: str, schema: T.StructType | str, mode: str = "PERMISSIVE") -> DataFrame:
+    """Rows of files that are one flat table each: path, row_idx and the columns by the header's names, without Python."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    return decode_tables(read_documents(spark, path), "document", kind, delimiter, ["path"])
+    return decode_tables(read_documents(spark, path), "document", kind, ["path"], mode)
 
 
 def read_big_table(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ",") -> DataFrame:
     """Rows of tables of any size: files are split at line feeds, which rows never hold.
 
-    Headers, which alone start at the margin, comments and blank lines go; order and counts are not
-    looked at.
+    A split of a file may lack its header, so the schema gives the columns and their order; a header
+    with others, or with another delimiter, stops the job, as does any other line at the margin.
+    Comments and blank lines go; counts are not looked at.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    lines = spark.read.text(path, lineSep="\n").where(F.col("value").startswith(" ")).select(trim_space(F.col("value")).alias("line"))
-    return decode_lines(lines.where((F.col("line") != "") & ~F.col("line").startswith("#")), "line", kind, delimiter)
-
-
-def write_tables(df: DataFrame, path: str, key: str | None = None, delimiter: str = ",", indent: int = 2, mode: str = "errorifexists") -> None:
-    """One table document for each partition, with its exact count; lines are made before Python counts them."""
-    lines = df.select(row_line(df.schema, delimiter).alias("line"))
+    line = F.col("value")
+    head = table_header(F.regexp_replace(line, "^\ufeff", ""))
+    fits = F.coalesce((head["mark"] == MARKS[delimiter]) & (head["paths"] == F.array(*map(F.lit, leaf_paths(kind)))) & ~head["keyed"] & head["n"].isNotNull(), F.lit(False))
+    other = F.raise_error(F.concat(F.lit("not the header of this schema: "), line)).cast("boolean")
+    is_row = F.when(line.rlike(r"^[ \t]*(?:#|\r*$)"), False).when(line.startswith(" "), True).when(fits, False).otherwise(other)
+    lines = spark.read.text(path, lineSep="\n").where(is_row).select(trim_space(line).alias("line"))
+    return decode_lines(lines, "line", kind, delimiter)
+
+
+def write_tables(df: DataFrame, path: str, key: str | None = None, delimiter: str = ",", indent: int = 2, mode: str = "errorifexists", fixed_point: bool = False) -> None:
+    """One table document for each partition, with its exact count; a task holds its lines as Arrow batches until it has counted them."""
+    lines = df.select(row_line(df.schema, delimiter, fixed_point).alias("line"))
     before, after = f"{scalars.quote_key(key) if key is not None else ''}[", f"{MARKS[delimiter]}]{{{field_list(df.schema, delimiter)}}}:"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

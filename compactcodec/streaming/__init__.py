@@ -24,15 +24,15 @@ def decode_session_stream(messages: DataFrame, session: str = "session", seq: st
     """session, seq, value of binary messages; the state of a session is its dictionary.
 
     Messages of one session must arrive in order of ``seq`` between batches; within a batch they are
-    sorted.
+    sorted.  A null message has a null value.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known = binary.Session(list(state.get[0]) if state.exists else [])
         rows = pd.concat(list(frames)).sort_values("seq")
-        values = [json.dumps(binary.loads(x, session=known), ensure_ascii=False, separators=(",", ":")) for x in rows["message"]]
+        values = [None if x is None else json.dumps(binary.loads(x, session=known), ensure_ascii=False, separators=(",", ":")) for x in rows["message"]]
         state.update((known.entries,))
-        yield pd.DataFrame({"session": key[0], "seq": rows["seq"].to_numpy(), "value": values})
+        yield pd.DataFrame({"session": key[0], "seq": rows["seq"].to_numpy(), "value": pd.Series(values, dtype=object)})
 
     rows = messages.selectExpr(f"cast(`{session}` as string) as session", f"cast(`{seq}` as long) as seq", f"`{column}` as message")
     return rows.groupBy("session").applyInPandasWithState(step, "session string, seq long, value string", "entries array<string>", "append", "NoTimeout")
