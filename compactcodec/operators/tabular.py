@@ -75,8 +75,9 @@ def explode_rows(docs: DataFrame, column: str, keep: list[str] | None = None, mo
     there are, ``DROPMALFORMED`` none, and ``FAILFAST`` stops.
     """
     keep = keep or []
-    text = F.regexp_replace(F.col(column), "^\ufeff", "")
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^[ \t]*(?:#|\r*$)"))
+    text = F.when(F.col(column).startswith("\ufeff"), F.substr(column, F.lit(2))).otherwise(F.col(column))
+    plain = lambda x: F.ltrim(x, F.lit(" \t\r"))
+    lines = F.filter(F.split(text, "\n"), lambda x: (plain(x) != "") & ~plain(x).startswith("#"))
     found = docs.select(*keep, F.col(column).alias("__text"), lines.alias("__all"))
     found = found.select(*keep, "__text", "__all", table_header(F.get("__all", F.lit(0))).alias("__head"))
     body = F.slice("__all", F.lit(2), F.greatest(F.size("__all") - 1, F.lit(0)))

@@ -4,7 +4,7 @@ Files are listed and opened through Arrow's file systems, so paths may be URIs o
 knows.  ``ctext`` writes the rows of a task as table documents, ``cbin`` as messages, each of at most
 ``maxRecordsPerFile`` rows (options come in lower case).  Tasks write below ``_staging``; only the commit moves files to where
 readers find them, so a task that runs twice leaves no second copy, and ``overwrite`` takes the old
-files away.
+files away.  What tasks of a failed job still write stays below ``_staging``, which no reader sees.
 """
 
 from __future__ import annotations
