@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
 from collections.abc import Iterator
 
@@ -14,6 +16,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from compactcodec.functions.batches import dump_tables, has_table, is_table, load_tables, plain
 from compactcodec.kernel import binary, text
 from compactcodec.kernel.scalars import CodecError
 
@@ -27,7 +30,7 @@ def to_ctext(c: Column, indent: int = 2, delimiter: str = ",", length_marker: st
 
     @arrow_udf("string")
     def encode(x: pa.Array) -> pa.Array:
-        values = x.to_pylist()
+        values = plain(x)
         return pa.array([None if v is None else text.dumps(json.loads(v) if json_input else v, indent, delimiter, length_marker) for v in values], pa.string())
 
     return encode(c)
@@ -38,58 +41,91 @@ BROKEN = (CodecError, ValueError, TypeError, ArithmeticError, RecursionError)
 _RANGES = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
 
 
-def _fit(x, kind: T.DataType):
-    """A decoded value as the type asks; a value of another kind is an error."""
-    if x is None:
-        return None
+def _fitter(kind: T.DataType):
+    """A function that gives a decoded value as the type asks; a value of another kind is an error."""
     if isinstance(kind, T.StructType):
-        if not isinstance(x, dict):
-            raise CodecError("no object")
-        return {f.name: _fit(x.get(f.name), f.dataType) for f in kind.fields}
-    if isinstance(kind, T.MapType):
-        if not isinstance(x, dict):
-            raise CodecError("no object")
-        return [(k, _fit(v, kind.valueType)) for k, v in x.items()]
-    if isinstance(kind, T.ArrayType):
-        if not isinstance(x, list):
-            raise CodecError("no array")
-        return [_fit(v, kind.elementType) for v in x]
-    if isinstance(kind, T.StringType):
-        return x if isinstance(x, str) else _json(x)
-    if isinstance(kind, T.BooleanType):
-        if not isinstance(x, bool):
-            raise CodecError("no boolean")
-        return x
-    if isinstance(kind, T.IntegralType):
-        if isinstance(x, bool) or not isinstance(x, (int, float)) or x != int(x):
-            raise CodecError("no integer")
-        bits = _RANGES[type(kind)]
-        if not -(1 << bits) <= x < 1 << bits:
-            raise CodecError("an integer out of range")
-        return int(x)
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        if isinstance(x, bool) or not isinstance(x, (int, float)):
-            raise CodecError("no number")
-        return float(x)
-    if isinstance(kind, T.BinaryType):
-        if not isinstance(x, bytes):
-            raise CodecError("no bytes")
-        return x
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        import datetime
-
-        if not isinstance(x, str):
-            raise CodecError("no time")
-        found = datetime.datetime.fromisoformat(x)
-        return found.date() if isinstance(kind, T.DateType) else found
-    if isinstance(kind, T.DecimalType):
-        import decimal
-
-        found = decimal.Decimal(str(x)).quantize(decimal.Decimal(1).scaleb(-kind.scale), context=decimal.Context(prec=40))
-        if not found.is_finite() or found and found.adjusted() >= kind.precision - kind.scale:
-            raise CodecError("a decimal out of range")
-        return found
-    raise CodecError(f"no {kind.simpleString()}")
+        fields = [(f.name, _fitter(f.dataType)) for f in kind.fields]
+
+        def fit(x):
+            if not isinstance(x, dict):
+                raise CodecError("no object")
+            return {name: None if (v := x.get(name)) is None else of(v) for name, of in fields}
+
+    elif isinstance(kind, T.MapType):
+        each = _fitter(kind.valueType)
+
+        def fit(x):
+            if not isinstance(x, dict):
+                raise CodecError("no object")
+            return [(k, None if v is None else each(v)) for k, v in x.items()]
+
+    elif isinstance(kind, T.ArrayType):
+        each = _fitter(kind.elementType)
+
+        def fit(x):
+            if not isinstance(x, list):
+                raise CodecError("no array")
+            return [None if v is None else each(v) for v in x]
+
+    elif isinstance(kind, T.StringType):
+
+        def fit(x):
+            return x if isinstance(x, str) else _json(x)
+
+    elif isinstance(kind, T.BooleanType):
+
+        def fit(x):
+            if not isinstance(x, bool):
+                raise CodecError("no boolean")
+            return x
+
+    elif isinstance(kind, T.IntegralType):
+        least, beyond = -(1 << _RANGES[type(kind)]), 1 << _RANGES[type(kind)]
+
+        def fit(x):
+            if type(x) is not int and (isinstance(x, bool) or not isinstance(x, (int, float)) or x != int(x)):
+                raise CodecError("no integer")
+            if not least <= x < beyond:
+                raise CodecError("an integer out of range")
+            return int(x)
+
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+
+        def fit(x):
+            if isinstance(x, bool) or not isinstance(x, (int, float)):
+                raise CodecError("no number")
+            return float(x)
+
+    elif isinstance(kind, T.BinaryType):
+
+        def fit(x):
+            if not isinstance(x, bytes):
+                raise CodecError("no bytes")
+            return x
+
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+
+        def fit(x):
+            if not isinstance(x, str):
+                raise CodecError("no time")
+            found = datetime.datetime.fromisoformat(x)
+            return found.date() if isinstance(kind, T.DateType) else found
+
+    elif isinstance(kind, T.DecimalType):
+        unit, context = decimal.Decimal(1).scaleb(-kind.scale), decimal.Context(prec=40)
+
+        def fit(x):
+            found = decimal.Decimal(str(x)).quantize(unit, context=context)
+            if not found.is_finite() or found and found.adjusted() >= kind.precision - kind.scale:
+                raise CodecError("a decimal out of range")
+            return found
+
+    else:
+
+        def fit(x):
+            raise CodecError(f"no {kind.simpleString()}")
+
+    return fit
 
 
 def _schema(schema: T.DataType | str) -> T.DataType:
@@ -97,10 +133,11 @@ def _schema(schema: T.DataType | str) -> T.DataType:
 
 
 def _decoded(values: list, kind: T.DataType, decode, mode: str) -> pa.Array:
-    out = []
+    out, fit = [], _fitter(kind)
     for v in values:
         try:
-            out.append(None if v is None else _fit(decode(v), kind))
+            found = None if v is None else decode(v)
+            out.append(None if found is None else fit(found))
         except BROKEN:
             if mode == "FAILFAST":
                 raise
@@ -153,14 +190,16 @@ def is_valid_ctext(c: Column, indent: int = 2, strict: bool = True) -> Column:
 
 
 def to_cbin(c: Column, schema: binary.BinSchema | str | None = None, **options) -> Column:
-    """The message of each value; ``schema`` may be a schema or ``auto``."""
+    """The message of each value; ``schema`` may be a schema or ``auto``.  Lists of records of numbers go from Arrow's buffers to the message's columns."""
 
     @arrow_udf("binary")
     def encode(x: pa.Array) -> pa.Array:
         def one(v):
             return binary.dumps(v, schema=binary.derive_schema(v) if schema == "auto" else schema, **options)
 
-        return pa.array([None if v is None else one(v) for v in x.to_pylist()], pa.binary())
+        if schema is None and not options and len(x) and is_table(x.type):
+            return pa.array(dump_tables(x), pa.binary())
+        return pa.array([None if v is None else one(v) for v in plain(x)], pa.binary())
 
     return encode(c)
 
@@ -175,7 +214,9 @@ def from_cbin(c: Column, schema: T.DataType | str, bin_schema: binary.BinSchema
             found = binary.loads(v, schema=bin_schema)
             return [found] if isinstance(kind, T.ArrayType) and isinstance(found, dict) else found
 
-        return _decoded(x.to_pylist(), kind, one, mode)
+        messages = x.to_pylist()
+        whole = load_tables(messages, kind) if bin_schema is None and has_table(kind) else None
+        return _decoded(messages, kind, one, mode) if whole is None else whole
 
     return decode(c)
 
