@@ -289,6 +289,17 @@ def numeric_tokens(spark, sf_dir):
     return words.select("p_partkey", "word", F.col("word").rlike(NUMERIC_LIKE).alias("number_like"), C.parse_cell(F.col("word"), T.DoubleType()).alias("number"))
 
 
+#: writings of a positive number, and whether the looser test takes them
+_LENIENT_FORMS = {"+{}": True, ".{}": True, "{}.": True, "{}e": True, "{}.e": True, "-{}E+": True, "{}e5.5": True, "0{}": False, "{}-": False, "{}..": False, "e{}": False, "{}.5.": False, "+-{}": False, " {}": False}
+
+
+@query("lenient_numbers", "select p_partkey, " + ", ".join(f"{str(ok).lower()} as form{k}" for k, ok in enumerate(_LENIENT_FORMS.values())) + " from part")
+def lenient_numbers(spark, sf_dir):
+    """Fourteen writings of each part's size."""
+    word = lambda f: F.concat(F.lit(f.split("{}")[0]), F.col("p_size").cast("string"), F.lit(f.split("{}")[1]))
+    return table(spark, sf_dir, "part").select("p_partkey", *[C.looks_numeric(word(f)).alias(f"form{k}") for k, f in enumerate(_LENIENT_FORMS)])
+
+
 @query("canonical_number_lineitem", f"select l_orderkey, l_linenumber, {S.number('l_extendedprice')} as price, {S.number('l_discount')} as discount from lineitem")
 def canonical_number_lineitem(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.canonical_number(F.col("l_extendedprice")).alias("price"), C.number_text(F.col("l_discount"), T.DoubleType(), True).alias("discount"))
@@ -310,6 +321,13 @@ def split_cells_part(spark, sf_dir):
     return cells.select("p_partkey", "pos", C.parse_cell(F.col("cell"), T.StringType()).alias("cell"))
 
 
+@query("cells_by_name_part", "select p_partkey, p_name as name, cast(p_size as integer) as size, true as short from part")
+def cells_by_name_part(spark, sf_dir):
+    line = F.concat_ws("|", C.quote_text(F.col("p_name"), "|"), F.col("p_size").cast("string"))
+    made = table(spark, sf_dir, "part").select("p_partkey", C.cells_by_name(line, ["name", "size"], "|").alias("m"), C.cells_by_name(line, ["name"], "|").isNull().alias("short"))
+    return made.select("p_partkey", C.parse_cell(F.col("m")["name"], T.StringType()).alias("name"), C.parse_cell(F.col("m")["size"], T.IntegerType()).alias("size"), "short")
+
+
 @query("utf8_length_documents", "select doc_id, cast(strlen(text) as integer) as bytes from documents")
 def utf8_length_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.utf8_length(F.col("text")).alias("bytes"))
@@ -473,6 +491,14 @@ def bin_typed_array_embeddings(spark, sf_dir):
     return back.select("vec_id", F.size("embedding").alias("n"), F.octet_length("message").alias("size"), (F.col("back") == F.col("embedding")).alias("same"))
 
 
+@query("bin_typed_array_element", "select vec_id, cast(16 + 8 * len(embedding) as integer) as size, true as same from embeddings")
+def bin_typed_array_element(spark, sf_dir):
+    """Arrays written with the caller's element type in place of the narrowest."""
+    made = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", C.to_cbin(F.col("embedding"), element="float64").alias("message"))
+    same = C.from_cbin(F.col("message"), "array<float>") == F.col("embedding")
+    return made.select("vec_id", F.octet_length("message").alias("size"), same.alias("same"))
+
+
 @query("bin_object_table_lineitem", "select l_orderkey, cast(count(*) as integer) as n, true as columnar, cast(sum(l_partkey) as bigint) as parts, cast(sum(cast(l_tax as decimal(18,2))) as decimal(18,2)) as tax from lineitem group by l_orderkey")
 def bin_object_table_lineitem(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_tax")).alias("rows"))

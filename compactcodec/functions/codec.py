@@ -189,15 +189,19 @@ def is_valid_ctext(c: Column, indent: int = 2, strict: bool = True) -> Column:
     return check(c)
 
 
-def to_cbin(c: Column, schema: binary.BinSchema | str | None = None, **options) -> Column:
-    """The message of each value; ``schema`` may be a schema or ``auto``.  Lists of records of numbers go from Arrow's buffers to the message's columns."""
+def to_cbin(c: Column, schema: binary.BinSchema | str | None = None, element: str | None = None, **options) -> Column:
+    """The message of each value; ``schema`` may be a schema or ``auto``.
+
+    With ``element`` the column holds arrays of numbers, and each is a typed array of that element; a
+    number that does not fit is an error.  Lists of records of numbers go from Arrow's buffers to the message's columns."""
 
     @arrow_udf("binary")
     def encode(x: pa.Array) -> pa.Array:
         def one(v):
+            v = v if element is None else binary.TypedArray(v, element)
             return binary.dumps(v, schema=binary.derive_schema(v) if schema == "auto" else schema, **options)
 
-        if schema is None and not options and len(x) and is_table(x.type):
+        if schema is None and element is None and not options and len(x) and is_table(x.type):
             return pa.array(dump_tables(x), pa.binary())
         return pa.array([None if v is None else one(v) for v in plain(x)], pa.binary())
 

@@ -200,6 +200,21 @@ def split_cells(line: Column, delimiter: str = ",") -> Column:
     return F.when(line == "", F.array().cast("array<string>")).when(line.contains('"'), found).otherwise(plain)
 
 
+#: numbers with a sign, a bare point, or an exponent without digits or with a point
+_LENIENT_RX = r"^[+-]?(?:\.[0-9]+(?:[eE][+-]?[0-9]*)?|(?:0|[1-9][0-9]*)(?:\.[0-9]*(?:[eE][+-]?[0-9]*)?|[eE][+-]?[0-9]*\.?[0-9]*)?)\z"
+
+
+def looks_numeric(c: Column) -> Column:
+    """A looser test than the notation's own, for writers that also count ``+1``, ``.5``, ``1.`` and ``1e`` as numbers."""
+    return c.rlike(_LENIENT_RX)
+
+
+def cells_by_name(line: Column, names: list[str], delimiter: str = ",") -> Column:
+    """The cells of a row as a map by name, quotes kept; null where their number is not that of the names."""
+    cells = split_cells(line, delimiter)
+    return F.when(F.size(cells) == len(names), F.map_from_arrays(F.array(*map(F.lit, names)), cells))
+
+
 #: text whose escapes are all allowed; a surrogate is none
 _ESCAPED_RX = r'(?s)^(?:[^\\]|\\["\\nrt]|\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4})*+$'
 

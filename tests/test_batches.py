@@ -61,3 +61,13 @@ def test_tables_as_columns(spark, rows):
     df = spark.createDataFrame(rows, f"id int, rows {KIND.simpleString()}")
     back = df.select("id", C.from_cbin(C.to_cbin(F.col("rows")), KIND).alias("rows"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_cells_by_name_looser_numbers_and_element_types(spark):
+    df = spark.createDataFrame([('a,"b,c"', [1.0, 2.0]), ("a", None), ("", []), (None, [3.0])], "line string, v array<double>")
+    found = df.select(C.cells_by_name(F.col("line"), ["x", "y"]).alias("m"), C.to_cbin(F.col("v"), element="int8").alias("b")).collect()
+    assert [r["m"] for r in found] == [{"x": "a", "y": '"b,c"'}, None, None, None]
+    assert [r["b"] and binary.loads(bytes(r["b"]), keep_arrays=True).element for r in found] == ["int8", None, "int8", "int8"]
+    words = {"+1": True, ".5": True, "1.": True, "1e": True, "0": True, "-0.5E-3": True, "1e5.": True, "05": False, ".": False, "": False, "e5": False, "1\n": False, "--1": False, "1e+-2": False}
+    made = spark.createDataFrame([(w,) for w in words], "w string").select("w", C.looks_numeric(F.col("w")).alias("ok")).collect()
+    assert {r["w"]: r["ok"] for r in made} == words
