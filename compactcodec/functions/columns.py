@@ -237,6 +237,9 @@ def parse_cell(c: Column, kind: T.DataType) -> Column:
         return F.when(c == "true", True).when(c == "false", False)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.when(quoted, F.substr(c, F.lit(2), F.length(c) - 2).try_cast(kind))
+    if isinstance(kind, T.IntegralType):
+        x = c.try_cast(kind)
+        return F.when((x.cast("string") == c) | c.rlike(scalars.NUMERIC_LITERAL), x)
     if isinstance(kind, T.NumericType):
         return F.when(c.rlike(scalars.NUMERIC_LITERAL), c.try_cast(kind))
     raise TypeError(f"{kind.simpleString()} is no cell")
@@ -268,7 +271,7 @@ def parse_row(line: Column, schema: T.StructType, delimiter: str = ",") -> list[
 
 #: parts a path's names; no name that needs no quotes holds it
 PATH = "\x1f"
-_HEADER_RX = r'^(?:"(?:[^"\\]|\\.)*+"|[^:\["{} ][^:\["{}]*+)?\[#?(0|[1-9][0-9]*)(:?)([\t|]?)\]\{(.*)\} *:[ \r]*$'
+_HEADER_RX = r'^(?:"(?:[^"\\]|\\.)*+"|[^:\["{} ][^:\["{}]*+)?\[#?((?:0|[1-9][0-9]*):?[\t|]?)\]\{(.*)\} *:[ \r]*$'
 
 
 def leaf_paths(schema: T.StructType, above: tuple[str, ...] = ()) -> list[str]:
@@ -280,10 +283,19 @@ def leaf_paths(schema: T.StructType, above: tuple[str, ...] = ()) -> list[str]:
     return out
 
 
-def table_header(line: Column) -> Column:
-    """(n, keyed, mark, paths) of a table's header line; ``n`` is null for any other line.  ``paths`` are those of the columns, groups included."""
-    part = lambda i: F.regexp_extract(line, _HEADER_RX, i)
-    mark, fields = part(3), part(4)
+def header_parts(line: Column) -> Column:
+    """(n, keyed, mark, fields) of a table's header line; ``n`` is null for any other line."""
+    count, fields = F.regexp_extract(line, _HEADER_RX, 1), F.regexp_extract(line, _HEADER_RX, 2)
+    mark = F.when(count.endswith("|"), "|").when(count.endswith("\t"), "\t").when(count.isNotNull(), "")
+    return F.struct(F.rtrim(count, F.lit(":|\t")).try_cast("int").alias("n"), count.contains(":").alias("keyed"), mark.alias("mark"), fields.alias("fields"))
+
+
+def header_paths(parts: Column, usual: T.StructType | None = None) -> Column:
+    """Paths of the columns, groups included, of what ``header_parts`` gives, which should be a column, as each token looks at it.
+
+    The field list of ``usual`` is known by its text.
+    """
+    mark, fields = parts["mark"], parts["fields"]
     sign = F.when(mark == "", ",").otherwise(mark)
     pattern = F.concat(F.lit(r'"(?:[^"\\]|\\.)*+"|[{}'), sign, F.lit(r']|[^"{}'), sign, F.lit("]++"))
     tokens = F.regexp_extract_all(fields, pattern, F.lit(0))
@@ -300,8 +312,17 @@ def table_header(line: Column) -> Column:
         stack = F.when(opens, F.concat(acc["stack"], F.array(acc["name"]))).when(closes, F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))).otherwise(acc["stack"])
         return F.struct(stack.alias("stack"), F.when(~(opens | closes | parts), name).alias("name"), F.when(closes | parts, closed(acc)).otherwise(acc["out"]).alias("out"))
 
-    n = F.when(line.rlike(_HEADER_RX), part(1).try_cast("int"))
-    return F.struct(n.alias("n"), (part(2) == ":").alias("keyed"), mark.alias("mark"), F.aggregate(tokens, start, step, closed).alias("paths"))
+    found = F.aggregate(tokens, start, step, closed)
+    if usual is None or not usual.fields:
+        return found
+    known = [(mark == sign_of) & (fields == field_list(usual, d)) for d, sign_of in MARKS.items()]
+    return F.when(reduce(lambda a, b: a | b, known), F.array(*map(F.lit, leaf_paths(usual)))).otherwise(found)
+
+
+def table_header(line: Column) -> Column:
+    """(n, keyed, mark, paths) of a table's header line; ``n`` is null for any other line.  ``paths`` are those of the columns, groups included."""
+    whole = F.transform(F.array(header_parts(line)), lambda x: F.struct(x["n"].alias("n"), x["keyed"].alias("keyed"), x["mark"].alias("mark"), header_paths(x).alias("paths")))
+    return F.get(whole, F.lit(0))
 
 
 def line_type(c: Column, delimiter: str = ",") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from compactcodec.functions.columns import header_text, leaf_paths, parse_row, quote_key_text, row_line, split_by_mark, table_header, trim_space, typed_cells
+from compactcodec.functions.columns import header_parts, header_paths, header_text, leaf_paths, parse_row, quote_key_text, row_line, split_by_mark, trim_space, typed_cells
 
 
 def _body(lines: Column, indent: int) -> Column:
@@ -65,6 +65,47 @@ def decode_lines(lines: DataFrame, column: str, schema: T.StructType, delimiter:
 _GAP = r"\n +[^\s#][^\n]*+\n(?:[ \t]*+#[^\n]*+\n)*+[ \t\r]*+\n(?:[ \t\r]*+\n)*+ +[^\s#]"
 
 
+def _fixed(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """``keep`` and the columns ``made``, each worked out once a row: a filter above is not carried below, nor is an expression repeated."""
+    once = df.select(*keep, F.struct(*[c.alias(n) for n, c in made.items()]).alias("__made"))
+    return once.select(*keep, F.explode(F.array("__made")).alias("__made")).select(*keep, *[F.col("__made")[n].alias(n) for n in made])
+
+
+def _exploded(docs: DataFrame, column: str, keep: list[str], mode: str, schema: T.StructType | None = None) -> DataFrame:
+    """``keep``, ``mark``, ``row_idx`` and ``__row`` of ``explode_rows``: its ``line``, and its ``cells`` where ``mode`` has them counted.
+
+    With them come ``paths``, or with a schema ``at``, the places of its leaves.
+    """
+    text = F.when(F.col(column).startswith("\ufeff"), F.substr(column, F.lit(2))).otherwise(F.col(column))
+    plain = lambda x: F.ltrim(x, F.lit(" \t\r"))
+    lines = F.filter(F.split(text, "\n"), lambda x: (plain(x) != "") & ~plain(x).startswith("#"))
+    found = _fixed(docs.where(F.col(column).isNotNull()), keep, __text=F.col(column), __all=lines)
+    body = F.slice("__all", F.lit(2), F.greatest(F.size("__all") - 1, F.lit(0)))
+    parts = header_parts(F.get("__all", F.lit(0)))
+    found = _fixed(found, [*keep, "__text"], __body=body, __margin=F.array_position(F.transform(body, lambda x: ~x.startswith(" ")), True), __parts=parts)
+    within = F.when(F.col("__margin") == 0, F.col("__body")).otherwise(F.slice("__body", F.lit(1), F.greatest(F.col("__margin").cast("int") - 1, F.lit(0))))
+    n, mark = F.col("__parts.n"), F.col("__parts.mark")
+    found = _fixed(found, [*keep, "__text"], __lines=F.transform(within, trim_space), __table=n.isNotNull() & ~F.col("__parts.keyed"), n=F.coalesce(n, F.lit(0)), mark=mark, paths=header_paths(F.col("__parts"), schema))
+    place = {"paths": F.col("paths")}
+    if schema is not None:
+        leaves, found_at = F.array(*map(F.lit, leaf_paths(schema))), lambda p: (F.array_position(F.col("paths"), p) - 1).cast("int")
+        in_order = (F.col("paths") == leaves) & (F.size(F.array_distinct(leaves)) == F.size(leaves))
+        place = {"at": F.when(in_order, F.array(*[F.lit(i) for i in range(len(leaf_paths(schema)))])).otherwise(F.transform(leaves, found_at))}
+    row = lambda x, cells: F.struct(x.alias("line"), cells.alias("cells"))
+    if mode != "PERMISSIVE":
+        counted = F.when(F.size("__lines") == F.col("n"), F.transform("__lines", lambda x: row(x, split_by_mark(x, F.col("mark")))))
+        found = _fixed(found, [*keep, "__text", "__table", "n", "mark", "paths"], __rows=counted)
+        width = F.forall("__rows", lambda x: F.size(x["cells"]) == F.size("paths"))
+        fine = F.coalesce(F.col("__table") & F.col("__rows").isNotNull() & (F.size(F.array_distinct("paths")) == F.size("paths")) & width & ~F.col("__text").rlike(_GAP), F.lit(False))
+        fine = fine if mode == "DROPMALFORMED" else F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("malformed table: "), F.left("__text", F.lit(200)))).cast("boolean"))
+        # with the rows, so that no test of them comes before the error
+        found = _fixed(found, [*keep, "mark"], __rows=F.col("__rows"), __fine=fine, **place).where("__fine")
+    else:
+        found = found.where("__table")
+        found = _fixed(found, [*keep, "mark"], __rows=F.transform(F.slice("__lines", F.lit(1), F.col("n")), lambda x: F.struct(x.alias("line"))), **place)
+    return found.select(*keep, "mark", *place, F.posexplode("__rows").alias("row_idx", "__row"))
+
+
 def explode_rows(docs: DataFrame, column: str, keep: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """``keep``, ``row_idx``, ``line``, ``mark`` and ``paths`` of documents that start with a table, or are one; no Python.
 
@@ -75,23 +116,7 @@ def explode_rows(docs: DataFrame, column: str, keep: list[str] | None = None, mo
     there are, ``DROPMALFORMED`` none, and ``FAILFAST`` stops.
     """
     keep = keep or []
-    text = F.when(F.col(column).startswith("\ufeff"), F.substr(column, F.lit(2))).otherwise(F.col(column))
-    plain = lambda x: F.ltrim(x, F.lit(" \t\r"))
-    lines = F.filter(F.split(text, "\n"), lambda x: (plain(x) != "") & ~plain(x).startswith("#"))
-    found = docs.select(*keep, F.col(column).alias("__text"), lines.alias("__all"))
-    found = found.select(*keep, "__text", "__all", table_header(F.get("__all", F.lit(0))).alias("__head"))
-    body = F.slice("__all", F.lit(2), F.greatest(F.size("__all") - 1, F.lit(0)))
-    margin = F.array_position(F.transform(body, lambda x: ~x.startswith(" ")), True)
-    rows = F.transform(F.when(margin == 0, body).otherwise(F.slice(body, F.lit(1), F.greatest(margin.cast("int") - 1, F.lit(0)))), trim_space)
-    found = found.where(F.col("__text").isNotNull()).select(*keep, "__text", "__head", rows.alias("__rows"))
-    n, mark, paths = F.col("__head.n"), F.col("__head.mark"), F.col("__head.paths")
-    if mode != "PERMISSIVE":
-        width = F.forall("__rows", lambda x: F.size(split_by_mark(x, mark)) == F.size(paths))
-        fine = F.coalesce(n.isNotNull() & ~F.col("__head.keyed") & (F.size("__rows") == n) & (F.size(F.array_distinct(paths)) == F.size(paths)) & width & ~F.col("__text").rlike(_GAP), F.lit(False))
-        fine = fine if mode == "DROPMALFORMED" else F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("malformed table: "), F.left("__text", F.lit(200)))).cast("boolean"))
-        found = found.where(fine)
-    some = F.slice("__rows", F.lit(1), F.coalesce(n, F.lit(0)))
-    return found.where(n.isNotNull() & ~F.col("__head.keyed")).select(*keep, mark.alias("mark"), paths.alias("paths"), F.posexplode(some).alias("row_idx", "line")).select(*keep, "row_idx", "line", "mark", "paths")
+    return _exploded(docs, column, keep, mode).select(*keep, "row_idx", F.col("__row.line").alias("line"), "mark", "paths")
 
 
 def decode_tables(docs: DataFrame, column: str, schema: T.StructType, keep: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -101,8 +126,6 @@ def decode_tables(docs: DataFrame, column: str, schema: T.StructType, keep: list
     ``mode`` as in ``explode_rows``.
     """
     keep = keep or []
-    want = F.array(*map(F.lit, leaf_paths(schema)))
-    rows = explode_rows(docs, column, keep, mode)
-    at = F.transform(want, lambda p: (F.array_position(F.col("paths"), p) - 1).cast("int"))
-    cells = rows.select(*keep, "row_idx", split_by_mark(F.col("line"), F.col("mark")).alias("__cells"), at.alias("__at"))
-    return cells.select(*keep, "row_idx", *typed_cells(F.col("__cells"), schema, F.col("__at")))
+    rows = _exploded(docs, column, keep, mode, schema)
+    cells = split_by_mark(F.col("__row.line"), F.col("mark")) if mode == "PERMISSIVE" else F.col("__row.cells")
+    return rows.select(*keep, "row_idx", *typed_cells(cells, schema, F.col("at")))
