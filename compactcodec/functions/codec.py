@@ -25,13 +25,38 @@ def _json(x) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
+#: bytes of values, documents or messages that are Python objects at a time; as objects they take some ten times that
+SLICE = 2 << 20
+
+
+def _slices(x: pa.Array) -> Iterator[pa.Array]:
+    """An array in slices of about ``SLICE`` bytes, one value at least: a batch has up to 10,000 values of any size."""
+    if isinstance(x, pa.ChunkedArray):
+        for chunk in x.chunks:
+            yield from _slices(chunk)
+    elif len(x):
+        todo = [(0, len(x))]
+        while todo:
+            start, n = todo.pop()
+            part = x.slice(start, n)
+            if n == 1 or part.nbytes <= SLICE:
+                yield part
+            else:
+                todo += [(start + n // 2, n - n // 2), (start, n // 2)]
+
+
+def _sliced(x: pa.Array, kind: pa.DataType, of) -> pa.Array:
+    """``of`` each slice, which is a list or an array of the type, put together."""
+    made = [v if isinstance(v := of(part), pa.Array) else pa.array(v, kind) for part in _slices(x)]
+    return made[0] if len(made) == 1 else pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def to_ctext(c: Column, indent: int = 2, delimiter: str = ",", length_marker: str = "", json_input: bool = False) -> Column:
     """The document of each value, of any type; with ``json_input`` the column holds JSON text, whose key order counts."""
 
     @arrow_udf("string")
     def encode(x: pa.Array) -> pa.Array:
-        values = plain(x)
-        return pa.array([None if v is None else text.dumps(json.loads(v) if json_input else v, indent, delimiter, length_marker) for v in values], pa.string())
+        return _sliced(x, pa.string(), lambda part: [None if v is None else text.dumps(json.loads(v) if json_input else v, indent, delimiter, length_marker) for v in plain(part)])
 
     return encode(c)
 
@@ -151,7 +176,7 @@ def from_ctext(c: Column, schema: T.DataType | str, indent: int = 2, strict: boo
 
     @arrow_udf(kind)
     def decode(x: pa.Array) -> pa.Array:
-        return _decoded(x.to_pylist(), kind, lambda v: text.loads(v, indent, strict), mode)
+        return _sliced(x, to_arrow_type(kind), lambda part: _decoded(part.to_pylist(), kind, lambda v: text.loads(v, indent, strict), mode))
 
     return decode(c)
 
@@ -161,13 +186,13 @@ def from_ctext_json(c: Column, indent: int = 2, strict: bool = True) -> Column:
 
     @arrow_udf("string")
     def decode(x: pa.Array) -> pa.Array:
-        out = []
-        for v in x.to_pylist():
+        def one(v):
             try:
-                out.append(None if v is None else _json(text.loads(v, indent, strict)))
+                return None if v is None else _json(text.loads(v, indent, strict))
             except BROKEN:
-                out.append(None)
-        return pa.array(out, pa.string())
+                return None
+
+        return _sliced(x, pa.string(), lambda part: [one(v) for v in part.to_pylist()])
 
     return decode(c)
 
@@ -201,9 +226,8 @@ def to_cbin(c: Column, schema: binary.BinSchema | str | None = None, element: st
             v = v if element is None else binary.TypedArray(v, element)
             return binary.dumps(v, schema=binary.derive_schema(v) if schema == "auto" else schema, **options)
 
-        if schema is None and element is None and not options and len(x) and is_table(x.type):
-            return pa.array(dump_tables(x), pa.binary())
-        return pa.array([None if v is None else one(v) for v in plain(x)], pa.binary())
+        by_column = schema is None and element is None and not options and is_table(x.type)
+        return _sliced(x, pa.binary(), lambda part: dump_tables(part) if by_column else [None if v is None else one(v) for v in plain(part)])
 
     return encode(c)
 
@@ -218,9 +242,12 @@ def from_cbin(c: Column, schema: T.DataType | str, bin_schema: binary.BinSchema
             found = binary.loads(v, schema=bin_schema)
             return [found] if isinstance(kind, T.ArrayType) and isinstance(found, dict) else found
 
-        messages = x.to_pylist()
-        whole = load_tables(messages, kind) if bin_schema is None and has_table(kind) else None
-        return _decoded(messages, kind, one, mode) if whole is None else whole
+        def some(part):
+            messages = part.to_pylist()
+            whole = load_tables(messages, kind) if bin_schema is None and has_table(kind) else None
+            return _decoded(messages, kind, one, mode) if whole is None else whole
+
+        return _sliced(x, to_arrow_type(kind), some)
 
     return decode(c)
 
